@@ -30,12 +30,13 @@ def block_matrix(left, right, kernel, schema, left_id, right_id, block_rows=BLOC
         return df.withColumns(
             {
                 own: F.pmod(F.xxhash64(column), F.lit(n_own)),
-                other: F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).cast("long"),
+                other: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_other - 1).cast("long"))),
             }
         )
 
     l = split(left, left_id, "_lb", nl, "_rb", nr)
-    r = split(right, right_id, "_rb", nr, "_lb", nl)
+    # Renamed to themselves, the columns of a table met with itself are told apart.
+    r = split(right.toDF(*right.columns), right_id, "_rb", nr, "_lb", nl)
     cells = l.groupBy("_lb", "_rb").cogroup(r.groupBy("_lb", "_rb"))
     return cells.applyInPandas(kernel, schema)
 

@@ -389,7 +389,7 @@ def temporal_segments(sequence: DataFrame, scope=("capture",), segment=SEGMENT)
         "segment",
         F.struct(
             *[
-                F.transform("_rows", lambda x, f=f: x[f]).alias(f)
+                F.transform("_rows", lambda x: x[f]).alias(f)
                 for f in TEMPORAL_FIELDS
             ]
         ).alias("temporal"),
