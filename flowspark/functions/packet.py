@@ -38,53 +38,49 @@ APP_PROTO_IDS = {
 }
 
 
-def _literal_map(values: dict) -> Column:
-    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+# The functions below build SQL text and parse it once: on the driver that is much
+# quicker than composing the same expression call by call.
+
+
+def _literal_map(values: dict) -> str:
+    return "map(" + ", ".join(f"{k!r}, {v!r}" for k, v in values.items()) + ")"
 
 
 def protocol_name(proto) -> Column:
-    return F.coalesce(_literal_map(PROTOCOL_NAMES)[F.col(proto)], F.lit("OTHER"))
+    return F.expr(f"coalesce({_literal_map(PROTOCOL_NAMES)}[{proto}], 'OTHER')")
 
 
 def app_protocol(src_port, dst_port, proto) -> Column:
     """Named by port for TCP and UDP; the source end is looked up first."""
     ports = _literal_map(APP_PORTS)
-    named = F.coalesce(ports[F.col(src_port)], ports[F.col(dst_port)])
-    return F.coalesce(F.when(F.col(proto).isin(6, 17), named), F.lit("UNKNOWN"))
+    return F.expr(
+        f"CASE WHEN {proto} IN (6, 17) "
+        f"THEN coalesce({ports}[{src_port}], {ports}[{dst_port}], 'UNKNOWN') ELSE 'UNKNOWN' END"
+    )
 
 
 def proto_id(name) -> Column:
-    return _literal_map(PROTO_IDS)[F.col(name)]
+    return F.expr(f"{_literal_map(PROTO_IDS)}[{name}]")
 
 
 def app_proto_id(name) -> Column:
-    return _literal_map(APP_PROTO_IDS)[F.col(name)]
-
-
-def has_flag(flags, bit) -> Column:
-    return F.col(flags).bitwiseAND(F.lit(bit)) != 0
+    return F.expr(f"{_literal_map(APP_PROTO_IDS)}[{name}]")
 
 
 def tcp_flag_list(flags) -> Column:
     """The set flags of one packet, in reporting order; empty when not TCP."""
-    letters = [F.when(has_flag(flags, bit), F.lit(name)) for name, bit in TCP_FLAG_BITS]
-    return F.array_compact(F.array(*letters))
+    letters = ", ".join(f"IF({flags} & {bit} <> 0, '{name}', NULL)" for name, bit in TCP_FLAG_BITS)
+    return F.expr(f"array_compact(array({letters}))")
 
 
 def iso_timestamp(ts_us) -> Column:
     """UTC, always with six fraction digits, whatever the session's time zone."""
-    us = F.col(ts_us)
-    day_us = F.lit(86_400_000_000)
-    in_day = F.pmod(us, day_us)
-    day = F.floor((us - in_day) / day_us).cast("int")
-    second = F.floor(in_day / 1_000_000).cast("long")
-    return F.format_string(
-        "%sT%02d:%02d:%02d.%06dZ",
-        F.date_from_unix_date(day).cast("string"),
-        F.floor(second / 3600),
-        F.floor(second / 60) % 60,
-        second % 60,
-        in_day % 1_000_000,
+    in_day = f"pmod({ts_us}, 86400000000)"
+    second = f"({in_day} DIV 1000000)"
+    return F.expr(
+        f"format_string('%sT%02d:%02d:%02d.%06dZ', "
+        f"CAST(date_from_unix_date(CAST(({ts_us} - {in_day}) DIV 86400000000 AS INT)) AS STRING), "
+        f"{second} DIV 3600, {second} DIV 60 % 60, {second} % 60, {in_day} % 1000000)"
     )
 
 

@@ -13,12 +13,11 @@ Inside, a missing port is -1, so that the key columns are never null and one has
 partitioning serves grouping, windows and joins. Results show it as null again.
 """
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from flowspark.functions.packet import (
     TCP_FLAG_BITS,
     app_protocol,
-    has_flag,
     iso_timestamp,
     payload_entropy,
     protocol_name,
@@ -50,13 +49,10 @@ def flow_keys(packets: DataFrame) -> DataFrame:
     )
 
 
-def is_forward() -> Column:
-    """Addresses compare as strings; a missing port counts as 0; a tie is forward."""
-    src_port = F.coalesce("src_port", F.lit(0))
-    dst_port = F.coalesce("dst_port", F.lit(0))
-    return (F.col("src_ip") < F.col("dst_ip")) | (
-        (F.col("src_ip") == F.col("dst_ip")) & (src_port <= dst_port)
-    )
+# Addresses compare as strings; a missing port counts as 0; a tie is forward.
+IS_FORWARD = (
+    "src_ip < dst_ip OR (src_ip = dst_ip AND coalesce(src_port, 0) <= coalesce(dst_port, 0))"
+)
 
 
 def canonical(packets: DataFrame) -> DataFrame:
@@ -65,26 +61,19 @@ def canonical(packets: DataFrame) -> DataFrame:
     Replaces the four end columns by the canonical ones and adds `protocol` and
     `direction` (1.0 forward, -1.0 backward).
     """
-    ends = {
-        "src_ip": ("src_ip", "dst_ip"),
-        "src_port": ("src_port", "dst_port"),
-        "dst_ip": ("dst_ip", "src_ip"),
-        "dst_port": ("dst_port", "src_port"),
-    }
-    return (
-        ipv4(packets)
-        .withColumn("_fwd", is_forward())
-        .withColumns(
-            {
-                name: F.when(F.col("_fwd"), F.col(kept)).otherwise(F.col(swapped))
-                for name, (kept, swapped) in ends.items()
-            }
-            | {
-                "protocol": F.col("proto"),
-                "direction": F.when(F.col("_fwd"), 1.0).otherwise(-1.0),
-            }
-        )
-        .drop("_fwd", "proto")
+    ends = ["src_ip", "src_port", "dst_ip", "dst_port"]
+    rest = [c for c in packets.columns if c not in (*ends, "proto")]
+    turned = packets.where("ip_version = 4").selectExpr(
+        *rest, *ends, "proto AS protocol", f"({IS_FORWARD}) AS _fwd"
+    )
+    return turned.selectExpr(
+        *rest,
+        "IF(_fwd, src_ip, dst_ip) AS src_ip",
+        "IF(_fwd, src_port, dst_port) AS src_port",
+        "IF(_fwd, dst_ip, src_ip) AS dst_ip",
+        "IF(_fwd, dst_port, src_port) AS dst_port",
+        "protocol",
+        "IF(_fwd, 1.0D, -1.0D) AS direction",
     )
 
 
@@ -94,221 +83,173 @@ def _keyed(packets, entropy, chunk):
     The entropy is taken here, before any shuffle: payload bytes are never moved.
     """
     keyed = canonical(packets)
+    rest = [c for c in keyed.columns if c not in ("payload", "src_port", "dst_port")]
+    columns = [
+        *[F.col(c) for c in rest],
+        *[F.expr(f"coalesce({p}, {NO_PORT})").alias(p) for p in ("src_port", "dst_port")],
+        F.expr(f"floor(seq / {chunk})").alias("stretch"),
+    ]
     if entropy:
-        keyed = keyed.withColumn("entropy", payload_entropy("payload"))
-    return keyed.drop("payload").withColumns(
-        {
-            "src_port": F.coalesce("src_port", F.lit(NO_PORT)),
-            "dst_port": F.coalesce("dst_port", F.lit(NO_PORT)),
-            "stretch": F.floor(F.col("seq") / chunk),
-        }
-    )
+        columns.append(payload_entropy("payload").alias("entropy"))
+    return keyed.select(*columns)
 
 
-def _with_gaps(keyed, key):
-    """`gap_us` to the flow's previous packet in the stretch; null for the first."""
-    arrival = Window.partitionBy(*key, "stretch").orderBy("seq")
-    return keyed.withColumn("gap_us", F.col("ts_us") - F.lag("ts_us").over(arrival))
+def _over(key, order=None):
+    """The text of a window over a flow."""
+    return f"OVER (PARTITION BY {', '.join(key)}" + (f" ORDER BY {order})" if order else ")")
 
 
 def _moments(name, value):
     """Count, mean and summed squared deviation of the non-null `value`."""
     return [
-        F.count(value).alias(f"{name}_n"),
-        F.coalesce(F.avg(value), F.lit(0.0)).alias(f"{name}_mean"),
-        F.coalesce(F.var_pop(value) * F.count(value), F.lit(0.0)).alias(f"{name}_m2"),
+        f"count({value}) AS {name}_n",
+        f"coalesce(avg({value}), 0.0D) AS {name}_mean",
+        f"coalesce(var_pop({value}) * count({value}), 0.0D) AS {name}_m2",
     ]
 
 
+def _aggregate(rows, key, expressions):
+    return rows.groupBy(*key).agg(*[F.expr(e) for e in expressions])
+
+
 def flow_partials(packets: DataFrame, scope=("capture",), entropy=True, head=0, chunk=CHUNK):
     """One mergeable row per (scope, flow, stretch).
 
     With `head`, also the first `head` packets of the stretch as an array.
     """
-    key = [*scope, *FLOW_ID_FIELDS]
-    rows = _with_gaps(_keyed(packets, entropy, chunk), key)
+    key = [*scope, *FLOW_ID_FIELDS, "stretch"]
+    arrival = _over(key, "seq")
+    # The gap to the flow's previous packet in the stretch; null for the first.
+    extra = [f"ts_us - lag(ts_us) {arrival} AS gap_us"]
     if head:
-        arrival = Window.partitionBy(*key, "stretch").orderBy("seq")
-        rows = rows.withColumn("_rn", F.row_number().over(arrival))
-    gap = F.col("gap_us") / 1e6
+        extra.append(f"row_number() {arrival} AS _rn")
+    rows = _keyed(packets, entropy, chunk).selectExpr("*", *extra)
     aggs = [
-        F.count(F.lit(1)).alias("packets"),
-        F.sum(F.col("pkt_len").cast("long")).alias("bytes"),
-        F.sum(F.when(F.col("direction") > 0, F.col("pkt_len").cast("long")).otherwise(0)).alias(
-            "forward_bytes"
-        ),
-        F.min("seq").alias("first_seq"),
-        F.max("seq").alias("last_seq"),
-        F.min_by("ts_us", "seq").alias("first_us"),
-        F.max_by("ts_us", "seq").alias("last_us"),
-        *_moments("size", F.col("pkt_len").cast("double")),
-        *_moments("gap", F.when(F.col("gap_us") > 0, gap)),
+        "count(1) AS packets",
+        "sum(CAST(pkt_len AS BIGINT)) AS bytes",
+        "sum(IF(direction > 0, CAST(pkt_len AS BIGINT), 0L)) AS forward_bytes",
+        "min(seq) AS first_seq",
+        "max(seq) AS last_seq",
+        "min_by(ts_us, seq) AS first_us",
+        "max_by(ts_us, seq) AS last_us",
+        *_moments("size", "CAST(pkt_len AS DOUBLE)"),
+        *_moments("gap", "IF(gap_us > 0, gap_us / 1e6D, NULL)"),
         *[
-            F.min(
-                F.when(
-                    (F.col("protocol") == 6) & has_flag("tcp_flags", bit),
-                    F.col("seq") * 8 + place,
-                )
-            ).alias(f"flag_{name}")
+            f"min(IF(protocol = 6 AND tcp_flags & {bit} <> 0, seq * 8 + {place}, NULL)) AS flag_{name}"
             for place, (name, bit) in enumerate(TCP_FLAG_BITS)
         ],
     ]
     if entropy:
-        aggs += _moments("entropy", F.col("entropy"))
+        aggs += _moments("entropy", "entropy")
     if head:
-        fields = ["seq", "ts_us", "pkt_len", "direction"] + (["entropy"] if entropy else [])
-        aggs.append(
-            F.collect_list(F.when(F.col("_rn") <= head, F.struct(*fields))).alias("head")
-        )
-    return rows.groupBy(*key, "stretch").agg(*aggs)
-
-
-def _pooled(name, whole):
-    """Columns that turn partial moments into terms whose sums merge exactly."""
-    n, mean, m2 = (F.col(f"{name}_{part}") for part in ("n", "mean", "m2"))
-    centre = F.coalesce(
-        F.try_divide(F.sum(n * mean).over(whole), F.sum(n).over(whole)), F.lit(0.0)
-    )
-    return {
-        f"{name}_centre": centre,
-        f"{name}_m2": m2 + n * (mean - centre) * (mean - centre),
-    }
+        fields = "seq, ts_us, pkt_len, direction" + (", entropy" if entropy else "")
+        aggs.append(f"collect_list(IF(_rn <= {head}, struct({fields}), NULL)) AS head")
+    return _aggregate(rows, key, aggs)
 
 
 def merge_partials(partials: DataFrame, scope=("capture",), head=0) -> DataFrame:
     """Partial rows of each flow, in arrival order, to one row per flow."""
     key = [*scope, *FLOW_ID_FIELDS]
     entropy = "entropy_n" in partials.columns
-    order = Window.partitionBy(*key).orderBy("first_seq")
-    whole = Window.partitionBy(*key)
-
-    # The gap over the border joins this stretch's positive gaps as one more value.
-    border = (F.col("first_us") - F.lag("last_us").over(order)) / 1e6
-    rows = partials.withColumn("_border", F.when(border > 0, border))
-    n, mean = F.col("gap_n"), F.col("gap_mean")
-    off = F.col("_border") - mean
-    rows = rows.withColumns(
-        {
-            "gap_mean": F.when(F.col("_border").isNull(), mean).otherwise(mean + off / (n + 1)),
-            "gap_m2": F.when(F.col("_border").isNull(), F.col("gap_m2")).otherwise(
-                F.col("gap_m2") + off * off * n / (n + 1)
-            ),
-            "gap_n": n + F.when(F.col("_border").isNull(), 0).otherwise(1),
-        }
-    )
     measures = ["size", "gap"] + (["entropy"] if entropy else [])
-    pooled = {}
-    for name in measures:
-        pooled |= _pooled(name, whole)
-    rows = rows.withColumns(pooled)
-    if head:
-        before = F.sum("packets").over(order.rowsBetween(Window.unboundedPreceding, -1))
-        rows = rows.withColumn("_before", F.coalesce(before, F.lit(0)))
+    order, whole = _over(key, "first_seq"), _over(key)
+
+    # The positive gap over the border joins the stretch's own gaps as one more value.
+    border = f"(first_us - lag(last_us) {order}) / 1e6D"
+    before = f"coalesce(sum(packets) {order[:-1]} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L)"
+    rows = partials.selectExpr(
+        "*",
+        f"{border} AS _raw",
+        *([f"{before} AS _before"] if head else []),
+    )
+    kept = [c for c in rows.columns if c not in ("gap_n", "gap_mean", "gap_m2", "_raw")]
+    rows = rows.selectExpr(
+        *kept,
+        "gap_n + IF(_raw > 0, 1, 0) AS gap_n",
+        "IF(_raw > 0, gap_mean + (_raw - gap_mean) / (gap_n + 1), gap_mean) AS gap_mean",
+        "IF(_raw > 0, gap_m2 + pow(_raw - gap_mean, 2) * gap_n / (gap_n + 1), gap_m2) AS gap_m2",
+    )
+    # Deviations are taken around the flow's own mean, so that sums of them add up.
+    centres = [
+        f"coalesce(try_divide(sum({m}_n * {m}_mean) {whole}, sum({m}_n) {whole}), 0.0D) AS {m}_centre"
+        for m in measures
+    ]
+    rows = rows.selectExpr("*", *centres)
 
     aggs = [
-        F.min("first_seq").alias("first_seq"),
-        F.max("last_seq").alias("last_seq"),
-        F.min_by("first_us", "first_seq").alias("first_us"),
-        F.max_by("last_us", "last_seq").alias("last_us"),
-        F.sum("packets").alias("packets"),
-        F.sum("bytes").alias("bytes"),
-        F.sum("forward_bytes").alias("forward_bytes"),
-        *[F.min(f"flag_{name}").alias(f"flag_{name}") for name, _ in TCP_FLAG_BITS],
+        "min(first_seq) AS first_seq",
+        "min_by(first_us, first_seq) AS first_us",
+        "max_by(last_us, last_seq) AS last_us",
+        "sum(packets) AS packets",
+        "sum(bytes) AS bytes",
+        "sum(forward_bytes) AS forward_bytes",
+        *[f"min(flag_{name}) AS flag_{name}" for name, _ in TCP_FLAG_BITS],
     ]
-    for name in measures:
-        total = F.sum(f"{name}_n")
+    for m in measures:
         aggs += [
-            F.first(f"{name}_centre").alias(f"{name}_mean"),
-            F.coalesce(F.sqrt(F.try_divide(F.sum(f"{name}_m2"), total)), F.lit(0.0)).alias(
-                f"{name}_std"
-            ),
+            f"first({m}_centre) AS {m}_mean",
+            f"coalesce(sqrt(try_divide(sum({m}_m2 + {m}_n * pow({m}_mean - {m}_centre, 2)), "
+            f"sum({m}_n))), 0.0D) AS {m}_std",
         ]
     if head:
         # Only stretches that start within the first `head` packets bring theirs:
         # at most `head` arrays of at most `head` packets each.
         aggs.append(
-            F.flatten(F.collect_list(F.when(F.col("_before") < head, F.col("head")))).alias("head")
+            f"slice(array_sort(flatten(collect_list(IF(_before < {head}, head, NULL)))), 1, {head}) "
+            "AS head"
         )
-    merged = rows.groupBy(*key).agg(*aggs)
-    if head:
-        merged = merged.withColumn("head", F.slice(F.array_sort("head"), 1, head))
-    return _finish(merged, scope, entropy, head)
+    return _finish(_aggregate(rows, key, aggs), scope, entropy, head)
 
 
 def _flags_summary():
-    seen = F.array_sort(
-        F.array_compact(
-            F.array(
-                *[
-                    F.when(
-                        F.col(f"flag_{name}").isNotNull(),
-                        F.struct(F.col(f"flag_{name}").alias("at"), F.lit(name).alias("name")),
-                    )
-                    for name, _ in TCP_FLAG_BITS
-                ]
-            )
-        )
+    seen = ", ".join(
+        f"IF(flag_{name} IS NOT NULL, struct(flag_{name} AS spot, '{name}' AS name), NULL)"
+        for name, _ in TCP_FLAG_BITS
     )
-    summary = F.array_join(F.transform(seen, lambda x: x["name"]), "_")
-    return F.when(summary == "", "NONE").otherwise(summary)
+    joined = f"array_join(array_sort(array_compact(array({seen}))).name, '_')"
+    return f"coalesce(nullif({joined}, ''), 'NONE') AS flags_summary"
 
 
 def _finish(merged, scope, entropy, head):
-    none = F.lit(0.0)
-    columns = {
-        "src_port": F.nullif("src_port", F.lit(NO_PORT)),
-        "dst_port": F.nullif("dst_port", F.lit(NO_PORT)),
-        "flow_duration": (F.col("last_us") - F.col("first_us")) / 1e6,
-        "total_bytes": F.col("bytes").cast("double"),
-        "packet_count": F.col("packets").cast("double"),
-        "mean_pkt_size": F.col("size_mean"),
-        "std_pkt_size": F.col("size_std"),
-        "mean_dt": F.col("gap_mean"),
-        "std_dt": F.col("gap_std"),
-        "entropy_mean": F.col("entropy_mean") if entropy else none,
-        "entropy_std": F.col("entropy_std") if entropy else none,
-        "byte_ratio": F.coalesce(
-            F.try_divide(F.col("forward_bytes").cast("double"), F.col("bytes")), none
-        ),
-        "backward_bytes": F.col("bytes") - F.col("forward_bytes"),
-        "proto": protocol_name("protocol"),
-        "app_proto": app_protocol("src_port", "dst_port", "protocol"),
-        "flags_summary": _flags_summary(),
-        "timestamp": iso_timestamp("first_us"),
-    }
-    flows = merged.withColumns(columns)
-    kept = [
-        *scope,
-        *FLOW_ID_FIELDS,
+    open_ports = {p: f"nullif({p}, {NO_PORT})" for p in ("src_port", "dst_port")}
+    kept = [f"{open_ports.get(c, c)} AS {c}" for c in (*scope, *FLOW_ID_FIELDS)]
+    columns = [
+        *kept,
         "first_seq",
         "first_us",
-        *STATISTICAL_FIELDS,
+        "(last_us - first_us) / 1e6D AS flow_duration",
+        "CAST(bytes AS DOUBLE) AS total_bytes",
+        "CAST(packets AS DOUBLE) AS packet_count",
+        "size_mean AS mean_pkt_size",
+        "size_std AS std_pkt_size",
+        "gap_mean AS mean_dt",
+        "gap_std AS std_dt",
+        ("entropy_mean" if entropy else "0.0D AS entropy_mean"),
+        ("entropy_std" if entropy else "0.0D AS entropy_std"),
+        "coalesce(try_divide(CAST(forward_bytes AS DOUBLE), bytes), 0.0D) AS byte_ratio",
         "forward_bytes",
-        "backward_bytes",
-        "proto",
-        "app_proto",
-        "flags_summary",
-        "timestamp",
+        "bytes - forward_bytes AS backward_bytes",
+    ]
+    names = [
+        protocol_name("protocol").alias("proto"),
+        # Inside, a missing port is -1, which names nothing.
+        app_protocol("src_port", "dst_port", "protocol").alias("app_proto"),
+        F.expr(_flags_summary()),
+        iso_timestamp("first_us").alias("timestamp"),
     ]
     if head:
-        flows = flows.withColumn("temporal", _temporal_of_head(entropy))
-        kept.append("temporal")
-    return flows.select(*kept)
+        names.append(F.expr(_temporal_of_head(entropy)))
+    return merged.select(*[F.expr(c) for c in columns], *names)
 
 
 def _temporal_of_head(entropy):
-    head = F.col("head")
-    gaps = F.transform(
-        head,
-        lambda x, i: F.when(i == 0, 0.0).otherwise(
-            (x["ts_us"] - F.get(head, i - 1)["ts_us"]) / 1e6
-        ),
-    )
-    return F.struct(
-        gaps.alias("dt"),
-        F.transform(head, lambda x: x["pkt_len"].cast("double")).alias("pkt_size"),
-        F.transform(head, lambda x: x["direction"]).alias("direction"),
-        F.transform(head, lambda x: x["entropy"] if entropy else F.lit(0.0)).alias("entropy"),
+    gap = "IF(i = 0, 0.0D, (x.ts_us - get(head, i - 1).ts_us) / 1e6D)"
+    last = "x.entropy" if entropy else "0.0D"
+    return (
+        f"struct(transform(head, (x, i) -> {gap}) AS dt, "
+        "transform(head, x -> CAST(x.pkt_len AS DOUBLE)) AS pkt_size, "
+        "transform(head, x -> x.direction) AS direction, "
+        f"transform(head, x -> {last}) AS entropy) AS temporal"
     )
 
 
@@ -328,8 +269,8 @@ def windowed_flows(packets: DataFrame, seconds=10, entropy=True, chunk=CHUNK) ->
 
 
 def in_windows(packets: DataFrame, seconds=10) -> DataFrame:
-    width = F.lit(int(seconds * 1_000_000))
-    return packets.withColumn("window_us", F.col("ts_us") - F.pmod(F.col("ts_us"), width))
+    width = int(seconds * 1_000_000)
+    return packets.selectExpr("*", f"ts_us - pmod(ts_us, {width}L) AS window_us")
 
 
 def packet_sequence(packets: DataFrame, scope=("capture",), entropy=True, chunk=CHUNK):
@@ -339,37 +280,33 @@ def packet_sequence(packets: DataFrame, scope=("capture",), entropy=True, chunk=
     """
     key = [*scope, *FLOW_ID_FIELDS]
     keyed = _keyed(packets, entropy, chunk)
-    stretches = keyed.groupBy(*key, "stretch").agg(
-        F.count(F.lit(1)).alias("_n"), F.max_by("ts_us", "seq").alias("_last_us")
+    stretches = _aggregate(
+        keyed, [*key, "stretch"], ["count(1) AS _n", "max_by(ts_us, seq) AS _last_us"]
     )
-    order = Window.partitionBy(*key).orderBy("stretch")
-    before = F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    borders = stretches.select(
+    order, arrival = _over(key, "stretch"), _over([*key, "stretch"], "seq")
+    rows_before = f"{order[:-1]} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    borders = stretches.selectExpr(
         *key,
         "stretch",
-        F.coalesce(before, F.lit(0)).alias("_before"),
-        F.lag("_last_us").over(order).alias("_prev_us"),
+        f"coalesce(sum(_n) {rows_before}, 0L) AS _before",
+        f"lag(_last_us) {order} AS _prev_us",
     )
-    arrival = Window.partitionBy(*key, "stretch").orderBy("seq")
-    gap = F.coalesce(F.col("gap_us"), F.col("ts_us") - F.col("_prev_us"), F.lit(0))
-    return (
-        _with_gaps(keyed, key)
-        .withColumn("_rn", F.row_number().over(arrival))
-        .join(borders, [*key, "stretch"])
-        .select(
-            *scope,
-            "src_ip",
-            F.nullif("src_port", F.lit(NO_PORT)).alias("src_port"),
-            "dst_ip",
-            F.nullif("dst_port", F.lit(NO_PORT)).alias("dst_port"),
-            "protocol",
-            "seq",
-            (F.col("_before") + F.col("_rn") - 1).alias("pos"),
-            (gap / 1e6).alias("dt"),
-            F.col("pkt_len").cast("double").alias("pkt_size"),
-            "direction",
-            (F.col("entropy") if entropy else F.lit(0.0)).alias("entropy"),
-        )
+    inside = keyed.selectExpr(
+        "*", f"lag(ts_us) {arrival} AS _lag_us", f"row_number() {arrival} AS _rn"
+    )
+    return inside.join(borders, [*key, "stretch"]).selectExpr(
+        *scope,
+        "src_ip",
+        f"nullif(src_port, {NO_PORT}) AS src_port",
+        "dst_ip",
+        f"nullif(dst_port, {NO_PORT}) AS dst_port",
+        "protocol",
+        "seq",
+        "_before + _rn - 1 AS pos",
+        "coalesce(ts_us - coalesce(_lag_us, _prev_us), 0L) / 1e6D AS dt",
+        "CAST(pkt_len AS DOUBLE) AS pkt_size",
+        "direction",
+        "entropy" if entropy else "0.0D AS entropy",
     )
 
 

@@ -1,6 +1,6 @@
 """Packet sources: tables of packet rows, capture files, and the events adapter."""
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from flowspark.schema import PACKET
 
@@ -43,43 +43,33 @@ def packet_stream(spark: SparkSession, path=None, format="parquet", max_files=No
 
 def packets_from_events(events: DataFrame, capture="events") -> DataFrame:
     """Packet rows made from the `events` table by fixed arithmetic."""
-    event, user = F.col("event_id"), F.col("user_id")
-    kind = F.col("event_type")
-    tcp = kind.isin("view", "click", "purchase")
-    client_ip = F.concat(F.lit("10.0.0."), (user % 20 + 1).cast("string"))
-    server_ip = F.concat(
-        F.lit("10.0."), (user % 3).cast("string"), F.lit("."), (100 + user % 7).cast("string")
+    ends = events.selectExpr(
+        "event_id AS seq",
+        "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts) AS ts_us",
+        "event_id % 3 = 0 AS _back",
+        "concat('10.0.0.', user_id % 20 + 1) AS _client",
+        "concat('10.0.', user_id % 3, '.', 100 + user_id % 7) AS _server",
+        "CAST(CASE WHEN event_type = 'error' THEN NULL WHEN user_id % 11 = 0 THEN 123 "
+        "ELSE 40000 + user_id % 97 END AS INT) AS _client_port",
+        "CASE event_type WHEN 'view' THEN 80 WHEN 'click' THEN 443 WHEN 'purchase' THEN 22 "
+        "WHEN 'signup' THEN IF(user_id % 2 = 0, 53, 5201) END AS _server_port",
+        "CASE WHEN event_type IN ('view', 'click', 'purchase') THEN 6 "
+        "WHEN event_type = 'signup' THEN 17 WHEN user_id % 5 = 0 THEN 47 ELSE 1 END AS proto",
+        "60 + CAST(floor(value) AS INT) % 1440 AS pkt_len",
+        "encode(IF(event_id % 10 = 0, '', concat(event_type, props)), 'UTF-8') AS payload",
     )
-    client_port = (
-        F.when(kind == "error", None).when(user % 11 == 0, 123).otherwise(40000 + user % 97)
-    ).cast("int")
-    server_port = (
-        F.when(kind == "view", 80)
-        .when(kind == "click", 443)
-        .when(kind == "purchase", 22)
-        .when(kind == "signup", F.when(user % 2 == 0, 53).otherwise(5201))
-    ).cast("int")
-    from_server = event % 3 == 0
-    flags = F.get(F.array(*[F.lit(x) for x in (2, 18, 16, 24, 17, 4, 0, 40)]), event % 8)
-    return events.select(
-        F.lit(capture).alias("capture"),
-        event.alias("seq"),
-        F.timestamp_diff(
-            "MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts")
-        ).alias("ts_us"),
-        F.when(event % 50 == 0, 6).otherwise(4).alias("ip_version"),
-        F.when(from_server, server_ip).otherwise(client_ip).alias("src_ip"),
-        F.when(from_server, server_port).otherwise(client_port).alias("src_port"),
-        F.when(from_server, client_ip).otherwise(server_ip).alias("dst_ip"),
-        F.when(from_server, client_port).otherwise(server_port).alias("dst_port"),
-        F.when(tcp, 6)
-        .when(kind == "signup", 17)
-        .when(user % 5 == 0, 47)
-        .otherwise(1)
-        .alias("proto"),
-        (60 + F.floor("value").cast("int") % 1440).alias("pkt_len"),
-        F.when(tcp, flags).alias("tcp_flags"),
-        F.when(event % 10 == 0, F.encode(F.lit(""), "UTF-8"))
-        .otherwise(F.encode(F.concat("event_type", "props"), "UTF-8"))
-        .alias("payload"),
+    return ends.selectExpr(
+        f"'{capture}' AS capture",
+        "seq",
+        "ts_us",
+        "IF(seq % 50 = 0, 6, 4) AS ip_version",
+        "IF(_back, _server, _client) AS src_ip",
+        "IF(_back, _server_port, _client_port) AS src_port",
+        "IF(_back, _client, _server) AS dst_ip",
+        "IF(_back, _client_port, _server_port) AS dst_port",
+        "proto",
+        "pkt_len",
+        "IF(proto = 6, get(array(2, 18, 16, 24, 17, 4, 0, 40), CAST(seq % 8 AS INT)), NULL) "
+        "AS tcp_flags",
+        "payload",
     )
