@@ -50,7 +50,8 @@ def nearest(queries, rows, row_ids, k, forbidden=None):
 
     The matrix product only picks candidates, with a margin wider than its error;
     their distances are then summed from the differences, so equal vectors get equal
-    distances and ties fall to the smaller id. `forbidden` masks pairs out.
+    distances and ties fall to the smaller id. `forbidden`, given a slice of the queries,
+    returns a mask of pairs to leave out.
     """
     out_q, out_i, out_d = [], [], []
     if not len(queries) or not len(rows):
@@ -62,7 +63,7 @@ def nearest(queries, rows, row_ids, k, forbidden=None):
         approx = squared_distances(block, rows)
         margin = 1e-9 * (scale + (block**2).sum(1)) + 1e-12
         if forbidden is not None:
-            approx[forbidden[start : start + step]] = np.inf
+            approx[forbidden(slice(start, start + step))] = np.inf
         kth = np.partition(approx, min(k, len(rows)) - 1, axis=1)[:, min(k, len(rows)) - 1]
         q, r = np.nonzero((approx <= (kth + margin)[:, None]) & np.isfinite(approx))
         exact = ((block[q] - rows[r]) ** 2).sum(1)

@@ -51,29 +51,45 @@ def best_hits(hits: DataFrame, k) -> DataFrame:
     )
 
 
-def knn_join(queries, entries, k, exclude_self=False, pivots=128, block_rows=BLOCK_ROWS):
+def without_surplus_copies(entries: DataFrame, copies) -> DataFrame:
+    """Of equal vectors only the `copies` smallest ids: a search by (distance, id) needs
+    no more. Each task drops its own surplus before the shuffle."""
+    same = Window.partitionBy("embedding").orderBy("_id")
+    return entries.withColumn("_rn", F.row_number().over(same)).where(
+        F.col("_rn") <= copies
+    ).drop("_rn")
+
+
+def knn_join(
+    queries, entries, k, exclude_self=False, pivots=128, block_rows=BLOCK_ROWS, rings=32
+):
     """Exact k nearest entries for a query set of any size.
 
-    Entries are grouped by their nearest pivot. A query first meets one block of its
-    own cell, which bounds how far its k-th neighbour can be; then it is sent only to
-    the cells that the triangle inequality cannot rule out under that bound. Cells with
-    many entries, or many queries, are split into blocks on both sides.
+    Entries are grouped by their nearest pivot, and large groups into rings by their
+    distance to it. A query first meets one block of its own ring, which bounds how far
+    its k-th neighbour can be; then it is sent only to the rings that the triangle
+    inequality cannot rule out under that bound. Rings with many entries, or many
+    queries, are split into blocks on both sides.
 
     `queries` has `query_id` and `vector`, `entries` has `_id` and `embedding`.
     """
     spark = entries.sparkSession
     need = k + (1 if exclude_self else 0)
-    entries = entries.where(F.col("embedding").isNotNull()).select("_id", "embedding")
+    entries = without_surplus_copies(
+        entries.where(F.col("embedding").isNotNull()).select("_id", "embedding"), need
+    )
     chosen = entries.orderBy(F.xxhash64("_id"), "_id").limit(pivots).collect()
     if not chosen:
         return best_hits(spark.createDataFrame([], HITS), k)
+    number = len(chosen)
     centres = spark.sparkContext.broadcast(
         np.array([row["embedding"] for row in chosen], np.float64)
     )
-
-    @F.pandas_udf(
-        T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("away", T.DoubleType())])
+    kind = T.StructType(
+        [T.StructField("cell", T.IntegerType()), T.StructField("away", T.DoubleType())]
     )
+
+    @F.pandas_udf(kind)
     def place(v: pd.Series) -> pd.DataFrame:
         if not len(v):
             return pd.DataFrame({"cell": [], "away": []})
@@ -85,90 +101,130 @@ def knn_join(queries, entries, k, exclude_self=False, pivots=128, block_rows=BLO
         "_id", "embedding", "_p.cell", "_p.away"
     )
     # One row per pivot, so no more than `pivots` rows.
-    cells = placed.groupBy("cell").agg(
-        F.count(F.lit(1)).alias("n"), F.min("away").alias("lo"), F.max("away").alias("hi")
-    ).collect()
-    number = len(chosen)
-    size, low, high = np.zeros(number, np.int64), np.full(number, np.inf), np.full(number, -np.inf)
-    for row in cells:
-        size[row["cell"]], low[row["cell"]], high[row["cell"]] = row["n"], row["lo"], row["hi"]
-    shape = spark.sparkContext.broadcast((size, low, high))
-    entry_blocks = {c: _blocks_of(int(size[c]), block_rows) for c in range(number)}
+    spans = {
+        r["cell"]: r
+        for r in placed.groupBy("cell")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("away").alias("lo"), F.max("away").alias("hi"))
+        .collect()
+    }
+    ring_rows = []
+    for cell in range(number):
+        span = spans.get(cell)
+        count = min(rings, _blocks_of(span["n"], block_rows)) if span else 1
+        width = (span["hi"] - span["lo"]) / count if span else 0.0
+        ring_rows.append((cell, count, span["lo"] if span else 0.0, width))
+    # One row per pivot here too.
+    shape = F.broadcast(
+        spark.createDataFrame(ring_rows, "cell int, _rings int, _lo double, _width double")
+    )
+    ring = F.when(F.col("_width") > 0, F.floor((F.col("away") - F.col("_lo")) / F.col("_width")))
+    ring = F.least(F.greatest(F.coalesce(ring, F.lit(0)), F.lit(0)), F.col("_rings") - 1)
+
+    def in_rings(df):
+        return df.join(shape, "cell").withColumn("part", F.col("cell") * rings + ring.cast("int"))
+
+    placed = in_rings(placed).select("_id", "embedding", "away", "part")
+    # No more than `pivots` × `rings` rows.
+    parts = sorted(
+        placed.groupBy("part")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("away").alias("lo"), F.max("away").alias("hi"))
+        .collect()
+    )
+    name, size = (np.array([r[i] for r in parts], np.int64) for i in (0, 1))
+    low, high = (np.array([r[i] for r in parts]) for i in (2, 3))
+    bounds = spark.sparkContext.broadcast((name, size, low, high))
+    entry_blocks = {int(p): _blocks_of(int(n), block_rows) for p, n in zip(name, size)}
 
     def in_block_pairs(routed, one_block):
-        """Top-k of each routed query in the cell's blocks (or in one of them)."""
-        asked = {r["cell"]: r["count"] for r in routed.groupBy("cell").count().collect()}
-        plan = spark.createDataFrame(
-            [(c, entry_blocks[c], _blocks_of(n, block_rows)) for c, n in asked.items()]
-            or [(-1, 1, 1)],
-            "cell int, _ne int, _nq int",
+        """Top-k of each routed query in its part's blocks (or in one of them)."""
+        asked = {r["part"]: r["count"] for r in routed.groupBy("part").count().collect()}
+        plan = []
+        for p, n in asked.items():
+            blocks = entry_blocks.get(p, 1)
+            share = -(-n // blocks) if one_block else n
+            plan.append((p, blocks, _blocks_of(share, block_rows)))
+        plan = F.broadcast(  # no more than `pivots` × `rings` rows
+            spark.createDataFrame(plan or [(-1, 1, 1)], "part int, _ne int, _nq int")
         )
-        plan = F.broadcast(plan)  # no more than `pivots` rows
         own_q = F.pmod(F.xxhash64("query_id"), F.col("_nq")).cast("int")
         own_e = F.pmod(F.xxhash64("_id"), F.col("_ne")).cast("int")
         if one_block:
-            all_e = F.pmod(F.xxhash64("query_id", F.lit(1)), F.col("_ne")).cast("int")
+            met = F.pmod(F.xxhash64("query_id", F.lit(1)), F.col("_ne")).cast("int")
         else:
-            all_e = F.explode(F.sequence(F.lit(0), F.col("_ne") - 1))
+            met = F.explode(F.sequence(F.lit(0), F.col("_ne") - 1))
         all_q = F.explode(F.sequence(F.lit(0), F.col("_nq") - 1))
-        q = routed.join(plan, "cell").select(
-            "cell", "query_id", "vector", own_q.alias("_qb"), all_e.alias("_eb")
+        q = routed.join(plan, "part").select(
+            "part", "query_id", "vector", own_q.alias("_qb"), met.alias("_eb")
         )
-        e = placed.join(plan, "cell").select(
-            "cell", "_id", "embedding", own_e.alias("_eb"), all_q.alias("_qb")
+        e = placed.join(plan, "part").select(
+            "part", "_id", "embedding", own_e.alias("_eb"), all_q.alias("_qb")
         )
 
         def top(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             if not len(left) or not len(right):
                 return pd.DataFrame({"query_id": [], "id": [], "distance": []})
             query_ids, ids = left["query_id"].to_numpy(), right["_id"].to_numpy()
-            same = query_ids[:, None] == ids[None, :] if exclude_self else None
+
+            def same(part):
+                return query_ids[part, None] == ids[None, :]
+
             at, found, d = nearest(
-                matrix(left["vector"]), matrix(right["embedding"]), ids, k, same
+                matrix(left["vector"]),
+                matrix(right["embedding"]),
+                ids,
+                k,
+                same if exclude_self else None,
             )
             return pd.DataFrame({"query_id": query_ids[at], "id": found, "distance": d})
 
-        key = ["cell", "_qb", "_eb"]
+        key = ["part", "_qb", "_eb"]
         return q.groupBy(*key).cogroup(e.groupBy(*key)).applyInPandas(top, HITS)
 
     queries = queries.select("query_id", "vector")
-    home = queries.withColumn("_p", place("vector")).select("query_id", "vector", "_p.cell")
+    home = queries.withColumn("_p", place("vector")).select(
+        "query_id", "vector", "_p.cell", "_p.away"
+    )
+    home = in_rings(home).select("query_id", "vector", "part")
     first = best_hits(in_block_pairs(home, one_block=True), k)
     reach = first.groupBy("query_id").agg(
         F.when(F.count(F.lit(1)) >= k, F.sqrt(F.max("distance"))).alias("reach")
     )
     reach = cut(reach)
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def cells_in_reach(v: pd.Series, found: pd.Series) -> pd.Series:
-        if not len(v):
-            return pd.Series([], dtype=object)
-        size, low, high = shape.value
-        pivot = centres.value
-        filled = size > 0
-        squared = squared_distances(matrix(v), pivot)
+    def parts_within(vectors, found):
+        name, size, low, high = bounds.value
+        pivot, cell = centres.value, name // rings
+        squared = squared_distances(vectors, pivot)
         d = np.sqrt(squared)
-        # Cells whose every entry is near enough to hold `need` entries.
-        farthest = np.where(filled, d + high, np.inf)
+        to_part = d[:, cell]
+        # Parts whose every entry is near enough to hold `need` entries.
+        farthest = to_part + high
         order = np.argsort(farthest, axis=1)
         enough = np.cumsum(size[order], axis=1) >= need
         at = np.where(enough.any(1), enough.argmax(1), -1)
-        bound = np.where(
-            at >= 0, np.take_along_axis(farthest, order, 1)[np.arange(len(d)), at], np.inf
-        )
-        bound = np.fmin(bound, found.to_numpy(np.float64, na_value=np.nan))
-        nearest_possible = np.maximum(d - high, np.maximum(low - d, 0.0))
-        home = squared.argmin(1)
-        apart = np.sqrt(squared_distances(pivot, pivot))[home]
+        reached = np.take_along_axis(farthest, order, 1)[np.arange(len(d)), at]
+        bound = np.fmin(np.where(at >= 0, reached, np.inf), found)
+        closest = np.maximum(to_part - high, np.maximum(low - to_part, 0.0))
+        # Entries of another cell lie beyond the plane halfway to its pivot.
+        apart = np.sqrt(squared_distances(pivot, pivot))[squared.argmin(1)]
         half = np.divide(
-            squared - squared.min(1, keepdims=True), 2 * apart, out=np.zeros_like(d), where=apart > 1e-9
+            squared - squared.min(1, keepdims=True),
+            2 * apart,
+            out=np.zeros_like(d),
+            where=apart > 1e-9,
         )
-        nearest_possible = np.maximum(nearest_possible, half)
-        slack = 1e-7 * (1.0 + bound)
-        wanted = filled & (nearest_possible <= (bound + slack)[:, None])
-        return pd.Series([np.flatnonzero(row).astype(np.int32) for row in wanted])
+        closest = np.maximum(closest, half[:, cell])
+        wanted = closest <= (bound + 1e-7 * (1.0 + bound))[:, None]
+        return [name[row].astype(np.int32) for row in wanted]
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def parts_in_reach(v: pd.Series, found: pd.Series) -> pd.Series:
+        out, known = [], found.to_numpy(np.float64, na_value=np.nan)
+        for start in range(0, len(v), 512):
+            out += parts_within(matrix(v.iloc[start : start + 512]), known[start : start + 512])
+        return pd.Series(out, dtype=object)
 
     routed = queries.join(reach, "query_id", "left").select(
-        "query_id", "vector", F.explode(cells_in_reach("vector", "reach")).alias("cell")
+        "query_id", "vector", F.explode(parts_in_reach("vector", "reach")).alias("part")
     )
     return best_hits(in_block_pairs(routed, one_block=False), k)

@@ -16,6 +16,9 @@ from flowspark.operators.ids import broadcast_if_small, dense_ids, mixed, prefix
 # Anchors that may share one copy of a negative row before it is copied again.
 ANCHORS_PER_COPY = 4096
 
+# Cluster centres are broadcast up to this number of clusters.
+MAX_CENTRES = 4096
+
 
 def label_index(rows: DataFrame, label="label") -> DataFrame:
     """Each distinct label with its place in sorted order (`label_idx`)."""
@@ -158,7 +161,7 @@ def _centroids(rows, cluster, vector):
 def davies_bouldin(rows: DataFrame, cluster="cluster", vector="embedding") -> DataFrame:
     """Mean over clusters of the worst (spread i + spread j) / distance of centres."""
     rows = rows.select(cluster, vector)
-    centres = broadcast_if_small(_centroids(rows, cluster, vector))
+    centres = broadcast_if_small(_centroids(rows, cluster, vector), MAX_CENTRES)
     spread = (
         rows.join(centres, cluster)
         .groupBy(cluster)
@@ -201,7 +204,7 @@ def calinski_harabasz(rows: DataFrame, cluster="cluster", vector="embedding") ->
         F.sum("_n").alias("n"),
     )
     inside = (
-        rows.join(broadcast_if_small(centres), cluster)
+        rows.join(broadcast_if_small(centres, MAX_CENTRES), cluster)
         .agg(F.sum(l2_squared(vector, "_centre")).alias("ssw"))
     )
     score = F.try_divide(

@@ -68,13 +68,18 @@ def _scan(entries, ids, vectors, k, exclude_self=False, allowed=None, extra=()):
             if not len(batch) or not len(q):
                 continue
             row_ids = batch.column("_id").to_numpy()
-            forbidden = None
-            if allowed is not None:
-                forbidden = ~allowed(batch)
-            if exclude_self:
-                same = query_ids[:, None] == row_ids[None, :]
-                forbidden = same if forbidden is None else forbidden | same
-            hits = nearest(q, _rows_of(batch, "embedding"), row_ids, k, forbidden)
+            mask = allowed(batch) if allowed is not None else None
+
+            def forbidden(part, mask=mask, row_ids=row_ids):
+                out = np.zeros((len(query_ids[part]), len(row_ids)), bool)
+                if mask is not None:
+                    out |= ~mask[part]
+                if exclude_self:
+                    out |= query_ids[part, None] == row_ids[None, :]
+                return out
+
+            used = forbidden if exclude_self or mask is not None else None
+            hits = nearest(q, _rows_of(batch, "embedding"), row_ids, k, used)
             if best is not None:
                 hits = keep_nearest(*[np.concatenate(p) for p in zip(best, hits)], k)
             best = hits
@@ -336,7 +341,7 @@ def indexed_search(store, queries, k=10, filters=None, probes=8, **options):
     if store.index_type == "hnsw":
         return knn_lsh(entries, queries, k)
     place = f"{store.base}/lists/total={store.total_flows()}"
-    if path_exists(f"{place}/centres"):
+    if path_exists(store.spark, f"{place}/centres"):
         lists = InvertedLists.load(store.spark, place)
     else:
         lists = InvertedLists.build(entries, place)

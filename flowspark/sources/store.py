@@ -6,7 +6,6 @@ repeated (a restarted stream) leaves the same store. Readers see only the batche
 that have a manifest row.
 """
 
-import pyarrow.fs as pafs
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -17,12 +16,21 @@ from flowspark.schema import MANIFEST, STORE_ENTRY
 INDEX_TYPES = ("flatl2", "ivfflat", "hnsw")
 
 
-def path_exists(path: str) -> bool:
-    if "://" in path or path.startswith("file:"):
-        fs, location = pafs.FileSystem.from_uri(path)
-    else:
-        fs, location = pafs.LocalFileSystem(), path
-    return fs.get_file_info(location).type != pafs.FileType.NotFound
+def _hadoop(spark, path):
+    """Spark's own file system for a path, and the path in it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, path = _hadoop(spark, path)
+    return fs.exists(path)
+
+
+def folder_names(spark: SparkSession, path: str) -> list:
+    """Names directly below a folder; none if it does not exist."""
+    fs, path = _hadoop(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
 
 
 class FlowStore:
@@ -40,34 +48,41 @@ class FlowStore:
     def load(cls, spark: SparkSession, base: str) -> "FlowStore":
         """An existing store; width and index type come from its manifest."""
         store = cls(spark, base)
-        if not path_exists(f"{store.base}/manifest"):
+        head = store.last_batch()
+        if head is None:
             raise FileNotFoundError(f"no flow store at {base}")
-        head = store._last()
         store.dimension, store.index_type = head["dimension"], head["index_type"]
         return store
 
     def manifest(self) -> DataFrame:
         return self.spark.read.schema(MANIFEST).parquet(f"{self.base}/manifest")
 
-    def _last(self, before=None):
-        if not path_exists(f"{self.base}/manifest"):
-            return None
-        rows = self.manifest()
-        if before is not None:
-            rows = rows.where(F.col("batch_id") < before)
-        # batch_id is the partition column: only the newest folder is read.
-        newest = rows.agg(F.max("batch_id").alias("b")).first()["b"]
-        if newest is None:
+    def last_batch(self, before=None):
+        """The manifest row of the newest batch (older than `before`), or None.
+
+        The folder names tell which one it is; only that row is read.
+        """
+        found = [
+            int(name.split("=")[1])
+            for name in folder_names(self.spark, f"{self.base}/manifest")
+            if name.startswith("batch_id=")
+        ]
+        found = [b for b in found if before is None or b < before]
+        if not found:
             return None
-        return rows.where(F.col("batch_id") == newest).first()
+        newest = max(found)
+        row = self.spark.read.schema(T.StructType(MANIFEST.fields[1:])).parquet(
+            f"{self.base}/manifest/batch_id={newest}"
+        ).first()
+        return {"batch_id": newest, **row.asDict()} if row else None
 
     def total_flows(self) -> int:
-        last = self._last()
+        last = self.last_batch()
         return last["total_flows"] if last else 0
 
     def entries(self) -> DataFrame:
         """The stored rows, up to the last batch that is complete."""
-        last = self._last()
+        last = self.last_batch()
         if last is None:
             return self.spark.createDataFrame([], STORE_ENTRY)
         schema = T.StructType([*STORE_ENTRY.fields, T.StructField("batch_id", T.LongType())])
@@ -81,9 +96,9 @@ class FlowStore:
         written again replaces its rows.
         """
         if batch_id is None:
-            last = self._last()
+            last = self.last_batch()
             batch_id = last["batch_id"] + 1 if last else 0
-        before = self._last(before=batch_id)
+        before = self.last_batch(before=batch_id)
         start = before["total_flows"] if before else 0
         buckets = buckets or [ranges(order[0])]
         flows = flows.withColumn("embedding", F.col("embedding").cast("array<float>"))

@@ -40,7 +40,7 @@ class Intake:
         self.weights, self.scaler, self.variant = weights, scaler, variant
         self.checkpoint = checkpoint
         offset = self._stored_offset()
-        if path_exists(f"{self.base}/manifest"):
+        if path_exists(spark, f"{self.base}/manifest"):
             if offset is None and not load_existing:
                 raise ValueError(f"{base} holds a store: load it or choose another place")
             self.store = FlowStore.load(spark, base)
@@ -49,7 +49,7 @@ class Intake:
         if self.store.dimension != output_dim(weights):
             raise ValueError("the store's width is not the encoder's")
         if offset is None:
-            last = self.store._last()
+            last = self.store.last_batch()
             offset = last["batch_id"] + 1 if last else 0
             spark.createDataFrame([(offset,)], "offset long").coalesce(1).write.mode(
                 "overwrite"
@@ -63,7 +63,7 @@ class Intake:
         return f"{self.base}/intake/{name}"
 
     def _stored_offset(self):
-        if not path_exists(self._offset_path()):
+        if not path_exists(self.spark, self._offset_path()):
             return None
         return self.spark.read.schema("offset long").parquet(self._offset_path()).first()["offset"]
 
@@ -109,7 +109,7 @@ class Intake:
 
     def progress(self) -> DataFrame:
         """One row per interval: packets, flows, embeddings, store size, time."""
-        if not path_exists(f"{self.base}/progress"):
+        if not path_exists(self.spark, f"{self.base}/progress"):
             return self.spark.createDataFrame(
                 [],
                 "packets long, flows long, embeddings long, store_flows long, "
