@@ -97,8 +97,11 @@ def knn_join(
         cell = d.argmin(1)
         return pd.DataFrame({"cell": cell, "away": np.sqrt(d[np.arange(len(d)), cell])})
 
-    placed = entries.withColumn("_p", place("embedding")).select(
-        "_id", "embedding", "_p.cell", "_p.away"
+    # Met several times below, so written once.
+    placed = cut(
+        entries.withColumn("_p", place("embedding")).select(
+            "_id", "embedding", "_p.cell", "_p.away"
+        )
     )
     # One row per pivot, so no more than `pivots` rows.
     spans = {

@@ -83,11 +83,20 @@ def _keyed(packets, entropy, chunk):
     The entropy is taken here, before any shuffle: payload bytes are never moved.
     """
     keyed = canonical(packets)
-    rest = [c for c in keyed.columns if c not in ("payload", "src_port", "dst_port")]
+    # Every IPv4 packet has addresses and a protocol. Saying so keeps the optimizer from
+    # adding null tests, which would compute the ends once more for each test.
+    never_null = {
+        "src_ip": "''",
+        "src_port": NO_PORT,
+        "dst_ip": "''",
+        "dst_port": NO_PORT,
+        "protocol": NO_PORT,
+    }
+    rest = [c for c in keyed.columns if c not in ("payload", *never_null)]
     columns = [
         *[F.col(c) for c in rest],
-        *[F.expr(f"coalesce({p}, {NO_PORT})").alias(p) for p in ("src_port", "dst_port")],
-        F.expr(f"floor(seq / {chunk})").alias("stretch"),
+        *[F.expr(f"coalesce({c}, {default})").alias(c) for c, default in never_null.items()],
+        F.expr(f"coalesce(seq DIV {chunk}, 0L)").alias("stretch"),
     ]
     if entropy:
         columns.append(payload_entropy("payload").alias("entropy"))

@@ -28,7 +28,7 @@ def dense_ids(df: DataFrame, order, buckets, name, start=0, partition=()) -> Dat
 
 def ranges(column, width=1 << 20):
     """Buckets of `width` consecutive values of a number column."""
-    return F.floor(F.col(column) / width)
+    return F.expr(f"{column} DIV {width}")
 
 
 def prefixes(column, length=8):

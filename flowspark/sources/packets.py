@@ -45,7 +45,8 @@ def packets_from_events(events: DataFrame, capture="events") -> DataFrame:
     """Packet rows made from the `events` table by fixed arithmetic."""
     ends = events.selectExpr(
         "event_id AS seq",
-        "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts) AS ts_us",
+        # The zone-less time stamp read as UTC, whatever the session's time zone.
+        "unix_micros(from_utc_timestamp(CAST(ts AS TIMESTAMP), current_timezone())) AS ts_us",
         "event_id % 3 = 0 AS _back",
         "concat('10.0.0.', user_id % 20 + 1) AS _client",
         "concat('10.0.', user_id % 3, '.', 100 + user_id % 7) AS _server",
@@ -56,7 +57,7 @@ def packets_from_events(events: DataFrame, capture="events") -> DataFrame:
         "CASE WHEN event_type IN ('view', 'click', 'purchase') THEN 6 "
         "WHEN event_type = 'signup' THEN 17 WHEN user_id % 5 = 0 THEN 47 ELSE 1 END AS proto",
         "60 + CAST(floor(value) AS INT) % 1440 AS pkt_len",
-        "encode(IF(event_id % 10 = 0, '', concat(event_type, props)), 'UTF-8') AS payload",
+        "CAST(IF(event_id % 10 = 0, '', concat(event_type, props)) AS BINARY) AS payload",
     )
     return ends.selectExpr(
         f"'{capture}' AS capture",

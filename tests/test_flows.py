@@ -110,6 +110,21 @@ def test_timestamp_is_utc_with_six_digits(spark, packets):
     assert row.timestamp == "2023-11-14T22:13:20.000042Z"
 
 
+def test_events_are_read_as_utc(spark):
+    from flowspark.sources.packets import packets_from_events
+
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        events = spark.sql(
+            "SELECT 1L AS event_id, TIMESTAMP_NTZ'2023-07-14 22:13:20.000042' AS ts, 1L AS user_id, "
+            "'view' AS event_type, 1.0D AS value, '{}' AS props"
+        )
+        assert packets_from_events(events).first().ts_us == 1_689_372_800_000_042
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
 def test_time_before_the_epoch(spark):
     df = spark.createDataFrame([(-1,)], "t long")
     assert df.select(pk.iso_timestamp("t")).first()[0] == "1969-12-31T23:59:59.999999Z"
