@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, Window, functions as F
 def dense_ids(df: DataFrame, order, buckets, name, start=0, partition=()) -> DataFrame:
     """Number the rows 0, 1, 2, … in `order`, within `partition` if given.
 
-    `buckets` are columns that are monotone in `order` (a range of the first order
+    `buckets` are columns or SQL texts that are monotone in `order` (a range of the first order
     column, say). Rows are numbered inside their bucket; the bucket's offset is the
     running count over the small table of buckets.
     """
     names = [f"_bucket{i}" for i in range(len(buckets))]
+    buckets = [F.expr(b) if isinstance(b, str) else b for b in buckets]
     rows = df.withColumns(dict(zip(names, buckets)))
     cell = [*partition, *names]
     counts = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"))

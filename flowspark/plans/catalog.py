@@ -64,19 +64,20 @@ def labelled(spark, sf):
     return rows.select(F.col("vec_id").alias("id"), "embedding", "label")
 
 
-def entries(spark, sf, head=0):
-    """Flow entries with dense ids, without embeddings."""
-    flows = fl.flow_table(packets(spark, sf), head=head)
-    if not head:
-        flows = flows.withColumn("temporal", F.lit(None))
-    nested = fl.nest(flows, "first_seq")
+def entries(spark, sf, entropy=False):
+    """Flow entries with dense ids, without lists and embeddings.
+
+    Numbering looks at the flows twice, so they are written once: packets are
+    shuffled once only.
+    """
+    flows = fl.flow_table(packets(spark, sf), entropy=entropy)
+    nested = cut(fl.nest(flows.withColumn("temporal", F.lit(None)), "first_seq").drop("temporal"))
     return dense_ids(nested, ["first_seq"], [ranges("first_seq")], "_id")
 
 
 def feature_entries(spark, sf):
-    """Flow entries whose embedding is the standardised feature vector. Several passes
-    are made over them, so they are written once."""
-    flows = cut(entries(spark, sf).drop("temporal"))
+    """Flow entries whose embedding is the standardised feature vector."""
+    flows = entries(spark, sf, entropy=True)
     return emb.scale_features(flows, emb.fit_scaler(flows), "embedding")
 
 
@@ -312,12 +313,12 @@ def filter_nested(spark, sf):
 
 @query("flow_by_id", sql.flow_by_id(7))
 def flow_by_id(spark, sf):
-    return md.details(md.flow_by_id(entries(spark, sf), 7))
+    return md.details(md.flow_by_id(entries(spark, sf, entropy=True), 7))
 
 
 @query("flow_details", sql.FLOW_DETAILS)
 def flow_details(spark, sf):
-    return md.details(entries(spark, sf))
+    return md.details(entries(spark, sf, entropy=True))
 
 
 @query("flow_listing", sql.flow_listing(10))
@@ -491,7 +492,7 @@ def find_similar(spark, sf):
 @query("query_by_example")
 def query_by_example(spark, sf):
     """Flows nearest to an example flow (the first one), through the encoder."""
-    flows = emb.embed_flows(entries(spark, sf).drop("temporal"), emb.seeded_weights())
+    flows = emb.embed_flows(entries(spark, sf, entropy=True), emb.seeded_weights())
     flows = cut(flows.select("_id", "embedding"))
     example = se.query_rows(flows.where(F.col("_id") == 0))
     return _ranked(se.knn(flows, example, 10))

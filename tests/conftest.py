@@ -14,7 +14,7 @@ def spark(tmp_path_factory):
     spark = session(
         "flowspark-tests",
         master="local[4]",
-        spark__sql__shuffle__partitions="4",
+        spark__sql__shuffle__partitions="2",
         spark__ui__enabled="false",
         spark__driver__memory="4g",
         spark__ui__showConsoleProgress="false",
