@@ -25,6 +25,19 @@ MAX_BROADCAST_QUERIES = 2048
 LISTS = 100
 TRAIN_ROWS_PER_LIST = 256
 
+# The wording of a context text, one line after the other.
+CONTEXT_HEADER = "Here are the most relevant network flows:"
+CONTEXT_LINES = [
+    "Flow %d:",
+    "  - Connection: %s:%s → %s:%s",
+    "  - Protocol: %s / %s",
+    "  - Duration: %.3fs",
+    "  - Total bytes: %.0f",
+    "  - Packets: %.0f",
+    "  - Similarity score: %.4f",
+]
+CONTEXT_NONE = "No relevant flows found in the database."
+
 
 def query_rows(entries: DataFrame) -> DataFrame:
     """Entries in the role of queries."""
@@ -178,35 +191,27 @@ def rag_context(entries, queries, k=5, sep="\n"):
         knn(entries, queries, k), entries, "flow_id", "statistical", "protocol"
     )
 
-    def end(side):
-        port = F.coalesce(F.col(f"flow_id.{side}_port").cast("string"), F.lit("None"))
-        return F.concat(F.coalesce(f"flow_id.{side}_ip", F.lit("None")), F.lit(":"), port)
-
-    def number(fmt, name):
-        return F.format_string(fmt, F.coalesce(F.col(f"statistical.{name}"), F.lit(0.0)))
-
-    text = F.concat_ws(
-        sep,
-        F.format_string("Flow %d:", F.col("rank")),
-        F.concat(F.lit("  - Connection: "), end("src"), F.lit(" → "), end("dst")),
-        F.concat(
-            F.lit("  - Protocol: "),
-            F.coalesce("protocol.proto", F.lit("None")),
-            F.lit(" / "),
-            F.coalesce("protocol.app_proto", F.lit("None")),
-        ),
-        number("  - Duration: %.3fs", "flow_duration"),
-        number("  - Total bytes: %.0f", "total_bytes"),
-        number("  - Packets: %.0f", "packet_count"),
-        F.format_string("  - Similarity score: %.4f", F.col("distance")),
+    def text(path):
+        return F.coalesce(F.col(path).cast("string"), F.lit("None"))
+
+    def number(name):
+        return F.coalesce(F.col(f"statistical.{name}"), F.lit(0.0))
+
+    described = F.format_string(
+        sep.replace("%", "%%").join(CONTEXT_LINES),
+        F.col("rank"),
+        *[text(f"flow_id.{f}") for f in ("src_ip", "src_port", "dst_ip", "dst_port")],
+        text("protocol.proto"),
+        text("protocol.app_proto"),
+        *[number(f) for f in ("flow_duration", "total_bytes", "packet_count")],
+        F.col("distance"),
     )
     # At most k short texts per query.
     parts = hits.groupBy("query_id").agg(
-        F.array_sort(F.collect_list(F.struct("rank", text.alias("text")))).alias("parts")
+        F.array_sort(F.collect_list(F.struct("rank", described.alias("text")))).alias("parts")
     )
-    header = F.lit("Here are the most relevant network flows:")
-    joined = F.concat_ws(sep, header, F.transform("parts", lambda p: p["text"]))
-    none = F.lit("No relevant flows found in the database.")
+    joined = F.concat_ws(sep, F.lit(CONTEXT_HEADER), F.transform("parts", lambda p: p["text"]))
+    none = F.lit(CONTEXT_NONE)
     return (
         queries.select("query_id")
         .join(parts, "query_id", "left")
