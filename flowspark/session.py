@@ -1,7 +1,10 @@
 """Session set-up and the shared folder used to cut lineage."""
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,7 +24,24 @@ def session(app="flowspark", master=None, **conf):
         builder = builder.master(master)
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    return ship(builder.getOrCreate())
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Give this package to the Python workers of a session, once."""
+    context = spark.sparkContext
+    if not getattr(context, "_flowspark_shipped", False):
+        package = Path(__file__).parent
+        archive = os.path.join(tempfile.mkdtemp(prefix="flowspark-"), "flowspark.zip")
+        with zipfile.ZipFile(archive, "w") as out:
+            for file in sorted(package.rglob("*.py")):
+                out.write(file, file.relative_to(package.parent))
+        context.addPyFile(archive)
+        context._flowspark_shipped = True
+    return spark
+
+
+_local_root = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -33,8 +53,8 @@ def scratch_dir(spark: SparkSession) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="flowspark-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _local_root.get("root") or tempfile.mkdtemp(prefix="flowspark-")
+        _local_root["root"] = root
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
