@@ -125,28 +125,33 @@ def star_candidates(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     return kept(pairs), shared.select("key", "id")
 
 
-def linked_components(members: DataFrame, verify) -> tuple[DataFrame, DataFrame]:
-    """Components of all pairs that share a key and pass `verify`, and the links tested true.
+def linked_components(members: DataFrame, prepare) -> tuple[DataFrame, DataFrame]:
+    """Components of all pairs that share a key and pass a test, and the links found true.
 
-    `verify(pairs)` returns the pairs (u, v) that link. Pairs inside one component cannot
-    change it; so stars are verified first, and then only pairs of a key whose ids are
-    still in different components. No link between components is lost, and a group of
+    `members`: (key, id). `prepare(ids)` gets the ids that share any key and returns the
+    test, which takes pairs (u, v) and returns those that link. Pairs inside one component
+    cannot change it; so stars are tested first, and then only pairs of a key whose ids
+    are still in different components. No link between components is lost, and a group of
     many copies, one component after the stars, costs its size and not its square.
     """
     pairs, shared = star_candidates(members)
+    verify = prepare(shared.select("id").distinct())
     links = kept(verify(pairs))
     found = kept(components(links))
-    label = F.coalesce("component", "id").alias("component")
-    labelled = shared.join(found, "id", "left").select("key", "id", label)
+    labelled = shared.join(found, "id", "left").select(
+        "key", "id", F.coalesce("component", "id").alias("component"))
     mixed = labelled.groupBy("key").agg(
         F.min("component").alias("low"), F.max("component").alias("high")
     ).where("low <> high").select("key")
     rest = kept(labelled.join(mixed, "key"))
-    if rest.isEmpty():
-        return found, links
     one, two = (rest.select("key", *[F.col(c).alias(c + n) for c in ("id", "component")]) for n in "12")
     across = one.join(two, "key").where("component1 < component2").select(
         F.least("id1", "id2").alias("u"), F.greatest("id1", "id2").alias("v")).distinct()
-    more = kept(verify(kept(across.join(pairs, ["u", "v"], "left_anti"))))
+    across = kept(across.join(pairs, ["u", "v"], "left_anti"))
+    if across.isEmpty():
+        return found, links
+    more = kept(verify(across))
+    if more.isEmpty():
+        return found, links
     links = links.unionByName(more)
     return kept(components(links)), links

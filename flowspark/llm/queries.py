@@ -1,9 +1,17 @@
 """The registered queries of this folder: name -> (query, SQL for DuckDB or None)."""
 
+from flowspark.llm.decontaminate import op2_decontaminate
+from flowspark.llm.jaccard_join import op6_jaccard_join
 from flowspark.llm.licenses import op8_licenses
+from flowspark.llm.line_dedup import op9_line_dedup
 from flowspark.llm.packing import op1_packing
+from flowspark.llm.unit_dedup import OP5_SQL, op5_unit_dedup
 
 QUERIES = {
     "op1_packing": (op1_packing, None),
+    "op2_decontaminate": (op2_decontaminate, None),
+    "op5_unit_dedup": (op5_unit_dedup, OP5_SQL),
+    "op6_jaccard_join": (op6_jaccard_join, None),
     "op8_licenses": (op8_licenses, None),
+    "op9_line_dedup": (op9_line_dedup, None),
 }
