@@ -6,13 +6,13 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowspark.llm.common import kept, table, utf8
+from flowspark.llm.common import kept, table, utf8, words
 
 # The sample that the network is fitted to: at most so many labelled rows of each class.
 SAMPLE_PER_CLASS = 900
 WINDOW, STRIDE = 24, 12
 WORD_ROWS, GRAM_ROWS, WIDTH, HIDDEN = 1 << 14, 1 << 13, 8, 8
-EPOCHS, RATE = 5, 0.02
+EPOCHS, RATE = 4, 0.02
 
 
 class _Buckets(dict):
@@ -28,7 +28,7 @@ def _rows():
     return _Buckets()
 
 
-def features(words):
+def features(distinct):
     """Of distinct words: their rows in the word table, and the rows of the table of
     character triples (with the word's ends) with where each word's triples begin."""
     import numpy as np
@@ -36,11 +36,11 @@ def features(words):
     known = _rows()
     if len(known) > 1_000_000:
         known.clear()
-    rows = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-    data = np.frombuffer(b" " + b"  ".join(words) + b" ", np.uint8).astype(np.int64)
-    sizes = np.array([len(w) for w in words], np.int64)  # as many triples as bytes
+    rows = np.fromiter(map(known.__getitem__, distinct), np.int64, len(distinct))
+    data = np.frombuffer(b" " + b"  ".join(distinct) + b" ", np.uint8).astype(np.int64)
+    sizes = np.array([len(w) for w in distinct], np.int64)  # as many triples as bytes
     begins = np.cumsum(sizes) - sizes
-    starts = np.repeat(np.arange(len(words)) * 2, sizes) + np.arange(int(sizes.sum()))
+    starts = np.repeat(np.arange(len(distinct)) * 2, sizes) + np.arange(int(sizes.sum()))
     grams = (data[starts] * 961 + data[starts + 1] * 31 + data[starts + 2]) * 40503 >> 4
     return rows, grams % GRAM_ROWS, begins, sizes
 
@@ -188,7 +188,7 @@ def _coded(texts):
 
     numbers, codes, lengths = {}, [], []
     for text in texts:
-        found = text.lower().split() if text else []
+        found = words(text)
         for word in found:
             if word not in numbers:
                 numbers[word] = len(numbers)
@@ -298,7 +298,7 @@ def trained(docs: DataFrame, labels: DataFrame, per_class=SAMPLE_PER_CLASS):
             return pd.DataFrame({"weights": [None]})
         return pd.DataFrame({"weights": [pickle.dumps(fit([t.encode() for t in part["text"]], found))]})
 
-    row = texts.groupBy(F.lit(0)).applyInPandas(one, "weights binary").first()
+    row = texts.withColumn("part", F.lit(0)).groupBy("part").applyInPandas(one, "weights binary").first()
     import pickle
 
     return pickle.loads(row[0]) if row and row[0] else None
@@ -334,6 +334,23 @@ def score_documents(docs: DataFrame, model, id_column="doc_id", text_column="tex
         "doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def reject_toxic(docs: DataFrame, model, threshold=0.5, text_column="text") -> DataFrame:
+    """The rows of `docs`, with all their columns, that score below `threshold`."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text_column)
+
+    def keep(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                rows = batch.slice(at, 500)
+                found = scores(shared.value, utf8(rows.column(place))) if shared.value else [0.0] * len(rows)
+                yield rows.filter(pa.array([x < threshold for x in found], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return score_documents(docs, trained(docs, table(spark, sf_dir, "labels", "doc_id", "toxic")))
