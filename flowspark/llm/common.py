@@ -108,6 +108,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+# Ids that go to every task: 16 MB at most; more are joined by a shuffle.
+_FEW_IDS = 1_000_000
+
+
+def few(ids: DataFrame) -> DataFrame:
+    """A written table of one-column ids, marked for broadcast if counted to be small."""
+    return F.broadcast(ids) if ids.count() <= _FEW_IDS else ids
+
+
 def star_candidates(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Candidate pairs of (key, id): each member of a key with the key's hubs.
 
@@ -115,16 +124,17 @@ def star_candidates(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     plain minima, combined before the shuffle. Returns the pairs (u < v) and the members of
     keys that several ids share, both written.
     """
-    hubs = members.groupBy("key").agg(
+    several = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    shared = kept(members.join(several, "key"))
+    hubs = shared.groupBy("key").agg(
         F.min("id").alias("a"), F.max("id").alias("b"),
         *[F.min(F.col("id").bitwiseXOR(F.lit(c))).bitwiseXOR(F.lit(c)).alias(f"h{i}")
           for i, c in enumerate(_HUBS)],
     ).where("a <> b")
-    shared = kept(members.join(hubs, "key"))
     hub = F.explode(F.array_distinct(F.array("a", "b", *[f"h{i}" for i in range(len(_HUBS))])))
-    pairs = shared.select("id", hub.alias("hub")).where("id <> hub").select(
+    pairs = shared.join(hubs, "key").select("id", hub.alias("hub")).where("id <> hub").select(
         F.least("id", "hub").alias("u"), F.greatest("id", "hub").alias("v")).distinct()
-    return kept(pairs), shared.select("key", "id")
+    return kept(pairs), shared
 
 
 def linked_components(members: DataFrame, prepare) -> tuple[DataFrame, DataFrame]:
@@ -137,7 +147,7 @@ def linked_components(members: DataFrame, prepare) -> tuple[DataFrame, DataFrame
     many copies, one component after the stars, costs its size and not its square.
     """
     pairs, shared = star_candidates(members)
-    verify = prepare(shared.select("id").distinct())
+    verify = prepare(kept(shared.select("id").distinct()))
     links = kept(verify(pairs))
     found = kept(components(links))
     labelled = shared.join(found, "id", "left").select(

@@ -5,7 +5,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowspark.llm.common import kept, linked_components, spread, table, utf8
+from flowspark.llm.common import few, kept, linked_components, spread, table, utf8
 
 _KNOWN_WORDS = 1_000_000
 SKETCH_BITS = 1024
@@ -172,7 +172,7 @@ def jaccard_components(docs: DataFrame, width=5, percent=80, id_column="doc_id",
                          _lists([bit_sketch(s) for s in sets]), _lists([s.view(np.int64) for s in sets])],
                         ["id", "n", "sketch", "set"])
 
-        texts = docs.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
+        texts = docs.join(few(ids.withColumnRenamed("id", "doc_id")), "doc_id", "left_semi")
         sets = kept(texts.mapInArrow(sets_of, f"id {kind}, n long, sketch array<long>, set array<long>"))
 
         def verify(pairs):
