@@ -21,7 +21,17 @@ def kept(df: DataFrame, partition_by=()) -> DataFrame:
     path = f"{scratch_dir(spark)}/table"
     with setting(spark, _DROP_SHUFFLE, "true"):
         df.write.partitionBy(*partition_by).option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.kept_at = path
+    return written
+
+
+def drop(*tables: DataFrame):
+    """Removes tables that `kept` wrote and that nothing reads any more."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.kept_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 @contextlib.contextmanager
@@ -89,6 +99,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             least.select("u", F.col("m").alias("v")))
         after = kept(small.where("u <> v").distinct())
+        drop(edges)
         edges = after
         # Stars: no smallest id has a smaller neighbour itself.
         if edges.join(edges.select(F.col("v").alias("u")), "u", "left_semi").isEmpty():

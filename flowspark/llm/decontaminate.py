@@ -167,6 +167,7 @@ def search(index: DataFrame, phrases: list[tuple[bytes, ...]], per_segment, sche
 
     def one(segment):
         import numpy as np
+        import pyarrow as pa
         import pyarrow.compute as pc
 
         found = segment.filter(pc.is_valid(segment.column("term"))).select(["term", "positions"])
@@ -176,7 +177,8 @@ def search(index: DataFrame, phrases: list[tuple[bytes, ...]], per_segment, sche
         }
         documents = segment.filter(pc.is_null(segment.column("term"))).select(["doc_id", "start", "n_words"])
         out = per_segment(lists, documents.sort_by("start"))
-        return out.append_column("segment", segment.column("segment").slice(0, 1).take([0] * len(out)))
+        own = segment.column("segment")[0].as_py()
+        return out.append_column("segment", pa.array(np.full(len(out), own, np.int64)))
 
     return rows.groupBy("segment").applyInArrow(one, schema + ", segment long")
 

@@ -5,7 +5,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowspark.llm.common import kept, table, utf8
+from flowspark.llm.common import drop, kept, table, utf8
 
 # Texts are looked at in pieces of so many bytes: what a task holds at once.
 PIECE = 1 << 20
@@ -204,7 +204,7 @@ def _strings(runs: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, length=100) -> DataFrame:
-    """(doc_id, start, stop): bytes of strings of `length` bytes that also start earlier.
+    """(doc_id, spans), `spans` being an array of (start, stop): bytes of strings of `length` bytes that also start earlier.
 
     Bucket-pointer refinement on sampled suffixes. The q-grams (a quarter of `length`) of
     least hash in each string are the suffixes; equal strings have equal ones at equal
@@ -218,6 +218,7 @@ def repeated_spans(docs: DataFrame, length=100) -> DataFrame:
     all_anchors = kept(anchors(docs, length, q))
     shared = all_anchors.groupBy("bucket").count().where("count > 1").select("bucket")
     active = kept(all_anchors.join(shared, "bucket"))
+    drop(all_anchors)
     contents = kept(active.groupBy("bucket", "content").agg(
         F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n")))
     again = active.join(contents.where("n > 1").select("bucket", "content", "first"), ["bucket", "content"])
@@ -234,7 +235,11 @@ def repeated_spans(docs: DataFrame, length=100) -> DataFrame:
     firsts = strings.groupBy("id").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n"))
     later = strings.join(firsts.where("n > 1").select("id", "first"), "id").where(
         F.struct("doc_id", "start") != F.col("first"))
-    return whole.unionByName(later.select("doc_id", "start", (F.col("start") + length).alias("stop")))
+    later = later.select("doc_id", "start", (F.col("start") + length).alias("stop"))
+    spans = kept(whole.unionByName(later).groupBy("doc_id").agg(
+        F.collect_list(F.struct("start", "stop")).alias("spans")))
+    drop(active, contents, halves, strings)
+    return spans
 
 
 def dedup_strings(docs: DataFrame, length=100, id_column="doc_id", text_column="text") -> DataFrame:
@@ -250,8 +255,7 @@ def dedup_strings(docs: DataFrame, length=100, id_column="doc_id", text_column="
     """
     docs = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    spans = repeated_spans(docs, length).groupBy("doc_id").agg(
-        F.collect_list(F.struct("start", "stop")).alias("spans"))
+    spans = repeated_spans(docs, length).hint("shuffle_hash")
 
     def cut(batches):
         import numpy as np
