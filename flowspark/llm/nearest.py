@@ -1,5 +1,7 @@
 """Approximate nearest neighbours by an adaptive dimension scan (operator 7)."""
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -136,7 +138,7 @@ def index_lists(distinct: DataFrame, middle) -> DataFrame:
         pack, "list long, firsts binary, vectors binary, blocks binary"))
 
 
-def neighbours(vectors: DataFrame, is_query, k=10, probes=48, id_column="vec_id", vector_column="embedding") -> DataFrame:
+def neighbours(vectors: DataFrame, is_query, k=10, share=0.6, id_column="vec_id", vector_column="embedding") -> DataFrame:
     """The k nearest other rows of each row that `is_query` (a condition on `vec_id`), by
     Euclidean distance: query_id, rank, vec_id, score (in double precision, of the vectors
     as given). Found in the `probes` nearest of the lists; nearest first, ties to the
@@ -157,7 +159,7 @@ def neighbours(vectors: DataFrame, is_query, k=10, probes=48, id_column="vec_id"
     asking = vectors.where(F.expr(is_query.replace("vec_id", "id"))).distinct().withColumnRenamed("id", "query_id")
     asking = kept(asking.join(distinct.select("vector", "first"), "vector"))
     distinct_queries = asking.select("first", "vector").distinct()
-    probes, turn = min(probes, len(middle)), rotation(middle.shape[1])
+    probes, turn = math.ceil(share * len(middle)), rotation(middle.shape[1])
 
     def route(frames):
         import numpy as np

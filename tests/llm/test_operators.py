@@ -247,7 +247,7 @@ def test_nearest(spark):
     rows += [(1000, None), (1100, [0.0] * 24), (1200, [float("nan")] * 24), (1300, [None] * 24), (1400, [1.0]), (100, data[100].tolist())]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got, hit = {}, 0
-    for r in nearest.neighbours(table, "vec_id % 100 = 0", k=10, probes=20).collect():
+    for r in nearest.neighbours(table, "vec_id % 100 = 0", k=10).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     assert sorted(got) == list(range(0, 600, 100))
     for q, found in got.items():
