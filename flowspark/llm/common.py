@@ -109,10 +109,6 @@ def components(edges: DataFrame) -> DataFrame:
         roots.select("id", F.col("id").alias("component")))
 
 
-# Orders in which a group of candidates names its hubs; arbitrary constants.
-_HUBS = (0x5DEECE66D1234567, 0x1B873593CC9E2D51)
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Few small rows that take long each, dealt out again: merged by size they might all
     end up in one task."""
@@ -128,53 +124,60 @@ def few(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= _FEW_IDS else ids
 
 
-def star_candidates(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs of (key, id): each member of a key with the key's hubs.
+# Orders in which the ids of a key name a hub: by size, and after flipping fixed bits
+# (arbitrary constants).
+_ORDERS = (0, -1, 0x5DEECE66D1234567, 0x1B873593CC9E2D51)
 
-    Hubs are the smallest and largest id and the smallest ones after flipping fixed bits:
-    plain minima, combined before the shuffle. Returns the pairs (u < v) and the members of
-    keys that several ids share, both written.
-    """
-    several = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    shared = kept(members.join(several, "key"))
-    hubs = shared.groupBy("key").agg(
-        F.min("id").alias("a"), F.max("id").alias("b"),
-        *[F.min(F.col("id").bitwiseXOR(F.lit(c))).bitwiseXOR(F.lit(c)).alias(f"h{i}")
-          for i, c in enumerate(_HUBS)],
-    ).where("a <> b")
-    hub = F.explode(F.array_distinct(F.array("a", "b", *[f"h{i}" for i in range(len(_HUBS))])))
-    pairs = shared.join(hubs, "key").select("id", hub.alias("hub")).where("id <> hub").select(
-        F.least("id", "hub").alias("u"), F.greatest("id", "hub").alias("v")).distinct()
-    return kept(pairs), shared
+
+def _hub(order):
+    return F.min(F.col("id").bitwiseXOR(F.lit(order))).bitwiseXOR(F.lit(order))
 
 
 def linked_components(members: DataFrame, prepare) -> tuple[DataFrame, DataFrame]:
     """Components of all pairs that share a key and pass a test, and the links found true.
 
-    `members`: (key, id). `prepare(ids)` gets the ids that share any key and returns the
-    test, which takes pairs (u, v) and returns those that link. Pairs inside one component
-    cannot change it; so stars are tested first, and then only pairs of a key whose ids
-    are still in different components. No link between components is lost, and a group of
-    many copies, one component after the stars, costs its size and not its square.
+    `members`: (key, id). `prepare(ids)` gets the ids that share any key and returns three
+    things: the test, which takes pairs (u, v) and returns those that link; a table of ids
+    with their sketches; and a condition on the columns of two sketches (named with 1 and 2
+    at the end) that all links meet. Pairs inside one component
+    cannot change it. So each member of a key is tested with the key's smallest id first;
+    then, of keys whose ids are still in different components, with other hubs in other
+    components; and last with all ids of a key in other components that have a close sketch. No link between components
+    is lost, and a group of many copies, one component after the first stars, costs its
+    size and not its square. Hubs are minima, combined before the shuffle.
     """
-    pairs, shared = star_candidates(members)
-    verify = prepare(kept(shared.select("id").distinct()))
-    links = kept(verify(pairs))
-    found = kept(components(links))
-    labelled = shared.join(found, "id", "left").select(
-        "key", "id", F.coalesce("component", "id").alias("component"))
-    mixed = labelled.groupBy("key").agg(
-        F.min("component").alias("low"), F.max("component").alias("high")
-    ).where("low <> high").select("key")
-    rest = kept(labelled.join(mixed, "key"))
-    one, two = (rest.select("key", *[F.col(c).alias(c + n) for c in ("id", "component")]) for n in "12")
-    across = one.join(two, "key").where("component1 < component2").select(
-        F.least("id1", "id2").alias("u"), F.greatest("id1", "id2").alias("v")).distinct()
-    across = kept(across.join(pairs, ["u", "v"], "left_anti"))
-    if across.isEmpty():
-        return found, links
-    more = kept(verify(across))
-    if more.isEmpty():
-        return found, links
-    links = links.unionByName(more)
-    return kept(components(links)), links
+    several = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    shared = kept(members.join(several, "key"))
+    verify, sketches, close = prepare(kept(shared.select("id").distinct()))
+    tested = links = found = None
+    rest = shared.withColumn("component", F.col("id"))
+    for orders in (_ORDERS[:1], _ORDERS[1:], None):
+        if orders:
+            # XOR with -1 turns the order round: the largest id.
+            hubs = rest.groupBy("key").agg(F.array_distinct(F.array(*[_hub(o) for o in orders])).alias("hubs"))
+            hubs = hubs.select("key", F.explode("hubs").alias("hub"))
+            hubs = hubs.join(rest.select("key", F.col("id").alias("hub"), F.col("component").alias("other")), ["key", "hub"])
+            pairs = rest.join(hubs, "key").where("component <> other").select("id", "hub")
+        else:
+            # The sketches are compared within the join: only close pairs come out of it.
+            rest = rest.join(sketches, "id")
+            one, two = (rest.select("key", *[F.col(c).alias(c + n) for c in rest.columns if c != "key"]) for n in "12")
+            pairs = one.join(two, "key").where("component1 < component2").where(close).select(
+                F.col("id1").alias("id"), F.col("id2").alias("hub"))
+        pairs = pairs.select(F.least("id", "hub").alias("u"), F.greatest("id", "hub").alias("v")).distinct()
+        pairs = kept(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"))
+        more = kept(verify(pairs))
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        links = more if links is None else links.unionByName(more)
+        if found is None or not more.isEmpty():
+            found = kept(components(links))
+        labelled = shared.join(found, "id", "left").select(
+            "key", "id", F.coalesce("component", "id").alias("component"))
+        mixed = labelled.groupBy("key").agg(
+            F.min("component").alias("low"), F.max("component").alias("high")
+        ).where("low <> high").select("key")
+        if orders:
+            rest = kept(labelled.join(mixed, "key"))
+            if rest.isEmpty():
+                break
+    return found, links

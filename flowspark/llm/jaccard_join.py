@@ -175,6 +175,11 @@ def jaccard_components(docs: DataFrame, width=5, percent=80, id_column="doc_id",
         texts = docs.join(few(ids.withColumnRenamed("id", "doc_id")), "doc_id", "left_semi")
         sets = kept(texts.mapInArrow(sets_of, f"id {kind}, n long, sketch array<long>, set array<long>"))
 
+        words = SKETCH_BITS // 64
+        sketches = sets.select("id", "n", *[F.col("sketch")[i].alias(f"s{i}_") for i in range(words)])
+        apart = sum((F.bit_count(F.col(f"s{i}_1").bitwiseXOR(F.col(f"s{i}_2"))) for i in range(words)), F.lit(0))
+        near = apart * (100 + percent) <= (100 - percent) * (F.col("n1") + F.col("n2"))
+
         def verify(pairs):
             def side(name, *columns):
                 return sets.select(F.col("id").alias(name), *[F.col(c).alias(c + name) for c in columns])
@@ -191,7 +196,7 @@ def jaccard_components(docs: DataFrame, width=5, percent=80, id_column="doc_id",
             common = F.size(F.array_intersect("setu", "setv"))
             return spread(full).where(common * (100 + percent) >= percent * total).select("u", "v").distinct()
 
-        return verify
+        return verify, sketches, near
 
     found, _ = linked_components(members, prepare)
     return signed.select("doc_id", "n").join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
