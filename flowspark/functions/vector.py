@@ -45,6 +45,9 @@ def squared_distances(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return np.maximum(d, 0.0)
 
 
+DIFFERENCES = 1 << 21
+
+
 def nearest(queries, rows, row_ids, k, forbidden=None):
     """For each query the k nearest rows as (query place, id, squared distance).
 
@@ -66,14 +69,17 @@ def nearest(queries, rows, row_ids, k, forbidden=None):
             approx[forbidden(slice(start, start + step))] = np.inf
         kth = np.partition(approx, min(k, len(rows)) - 1, axis=1)[:, min(k, len(rows)) - 1]
         q, r = np.nonzero((approx <= (kth + margin)[:, None]) & np.isfinite(approx))
-        exact = ((block[q] - rows[r]) ** 2).sum(1)
-        order = np.lexsort((row_ids[r], exact, q))
-        q, r, exact = q[order], r[order], exact[order]
-        first = np.searchsorted(q, q, side="left")
-        keep = np.arange(len(q)) - first < k
-        out_q.append(q[keep] + start)
-        out_i.append(row_ids[r[keep]])
-        out_d.append(exact[keep])
+        best = np.zeros(0, np.int64), np.zeros(0, row_ids.dtype), np.zeros(0)
+        # Equal vectors make every pair a candidate: so many differences at a time.
+        pairs = max(1, DIFFERENCES // max(1, rows.shape[1]))
+        for at in range(0, len(q), pairs):
+            own, other = q[at : at + pairs], r[at : at + pairs]
+            exact = ((block[own] - rows[other]) ** 2).sum(1)
+            found = own, row_ids[other], exact
+            best = keep_nearest(*[np.concatenate(x) for x in zip(best, found)], k)
+        out_q.append(best[0] + start)
+        out_i.append(best[1])
+        out_d.append(best[2])
     return np.concatenate(out_q), np.concatenate(out_i), np.concatenate(out_d)
 
 

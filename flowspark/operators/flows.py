@@ -23,6 +23,7 @@ from flowspark.functions.packet import (
     protocol_name,
 )
 from flowspark.schema import FLOW_ID_FIELDS, STATISTICAL_FIELDS, TEMPORAL_FIELDS
+from flowspark.operators.ids import join_keys
 
 CHUNK = 1 << 20
 SEGMENT = 1 << 16
@@ -303,7 +304,7 @@ def packet_sequence(packets: DataFrame, scope=("capture",), entropy=True, chunk=
     inside = keyed.selectExpr(
         "*", f"lag(ts_us) {arrival} AS _lag_us", f"row_number() {arrival} AS _rn"
     )
-    return inside.join(borders, [*key, "stretch"]).selectExpr(
+    return join_keys(inside, borders, [*key, "stretch"]).selectExpr(
         *scope,
         "src_ip",
         f"nullif(src_port, {NO_PORT}) AS src_port",
@@ -367,8 +368,8 @@ def flow_records(packets: DataFrame, scope=("capture",), chunk=CHUNK, segment=SE
     )
     ports = ["src_port", "dst_port"]
     dense = {p: F.coalesce(p, F.lit(NO_PORT)) for p in ports}
-    joined = flows.withColumns(dense).join(
-        lists.withColumns(dense), [*scope, *FLOW_ID_FIELDS, "segment"]
+    joined = join_keys(
+        flows.withColumns(dense), lists.withColumns(dense), [*scope, *FLOW_ID_FIELDS, "segment"]
     )
     joined = joined.withColumns({p: F.nullif(p, F.lit(NO_PORT)) for p in ports})
     return nest(joined, "segment", "first_seq", *scope)

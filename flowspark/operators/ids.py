@@ -3,6 +3,14 @@
 from pyspark.sql import DataFrame, Window, functions as F
 
 
+def join_keys(left: DataFrame, right: DataFrame, keys) -> DataFrame:
+    """Inner join on `keys`, in which nulls are equal to each other."""
+    names = {k: f"_right_{k}" for k in keys}
+    right = right.withColumnsRenamed(names)
+    same = [left[k].eqNullSafe(right[n]) for k, n in names.items()]
+    return left.join(right, same).drop(*names.values())
+
+
 def dense_ids(df: DataFrame, order, buckets, name, start=0, partition=()) -> DataFrame:
     """Number the rows 0, 1, 2, … in `order`, within `partition` if given.
 
@@ -20,8 +28,7 @@ def dense_ids(df: DataFrame, order, buckets, name, start=0, partition=()) -> Dat
     offsets = counts.select(*cell, F.coalesce(before, F.lit(0)).alias("_offset"))
     inside = Window.partitionBy(*cell).orderBy(*order)
     return (
-        rows.withColumn("_rn", F.row_number().over(inside))
-        .join(offsets, cell)
+        join_keys(rows.withColumn("_rn", F.row_number().over(inside)), offsets, cell)
         .withColumn(name, F.col("_offset") + F.col("_rn") - 1 + F.lit(start).cast("long"))
         .drop("_offset", "_rn", *names)
     )

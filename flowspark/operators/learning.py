@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from flowspark.functions.vector import euclidean, l2_squared, matrix, squared_distances
 from flowspark.operators.blocks import BLOCK_ROWS, block_matrix
-from flowspark.operators.ids import broadcast_if_small, dense_ids, mixed, prefixes, ranges
+from flowspark.operators.ids import broadcast_if_small, dense_ids, join_keys, mixed, prefixes, ranges
 
 # Anchors that may share one copy of a negative row before it is copied again.
 ANCHORS_PER_COPY = 4096
@@ -20,16 +20,28 @@ ANCHORS_PER_COPY = 4096
 MAX_CENTRES = 4096
 
 
+# Fixed value: the label of a row that has none.
+NO_LABEL = "normal"
+
+
+def labelled(rows: DataFrame, label="label") -> DataFrame:
+    """A missing text label is `normal`; a missing number stays, as a label of its own."""
+    if isinstance(rows.schema[label].dataType, T.StringType):
+        return rows.withColumn(label, F.coalesce(label, F.lit(NO_LABEL)))
+    return rows
+
+
 def label_index(rows: DataFrame, label="label") -> DataFrame:
     """Each distinct label with its place in sorted order (`label_idx`)."""
-    distinct = rows.select(label).where(F.col(label).isNotNull()).distinct()
+    distinct = labelled(rows, label).select(label).distinct()
     text = isinstance(rows.schema[label].dataType, T.StringType)
     bucket = prefixes(label) if text else ranges(label)
     return dense_ids(distinct, [label], [bucket], "label_idx").select(label, "label_idx")
 
 
 def with_label_index(rows: DataFrame, label="label") -> DataFrame:
-    return rows.join(broadcast_if_small(label_index(rows, label)), label)
+    rows = labelled(rows, label)
+    return join_keys(rows, broadcast_if_small(label_index(rows, label)), [label])
 
 
 def label_groups(rows: DataFrame, id="id", label="label", width=1 << 20) -> DataFrame:

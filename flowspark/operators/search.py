@@ -5,6 +5,8 @@ are squared Euclidean. Results have `query_id, rank, distance, id`; ties go to t
 smaller id.
 """
 
+import functools
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -21,9 +23,8 @@ from flowspark.sources.store import path_exists
 
 MAX_BROADCAST_QUERIES = 2048
 
-# Inverted lists of an `ivfflat` store, and training rows per list.
+# Fixed value: inverted lists of an `ivfflat` store.
 LISTS = 100
-TRAIN_ROWS_PER_LIST = 256
 
 # The wording of a context text, one line after the other.
 CONTEXT_HEADER = "Here are the most relevant network flows:"
@@ -219,6 +220,16 @@ def rag_context(entries, queries, k=5, sep="\n"):
     )
 
 
+def _in_blocks(queries: DataFrame, search) -> DataFrame:
+    """The same search for a query set of any size, in blocks that fit a broadcast. A block
+    that is still too large is dealt out again, by other hashes."""
+    count = queries.count()
+    blocks = 2 * count // MAX_BROADCAST_QUERIES + 2
+    block = F.pmod(F.xxhash64(F.lit(count), "query_id"), F.lit(blocks))
+    found = [search(queries.where(block == b)) for b in range(blocks)]
+    return functools.reduce(DataFrame.unionByName, found)
+
+
 class InvertedLists:
     """Entries written below one folder per inverted list (`rows/list_id=N`).
 
@@ -236,13 +247,8 @@ class InvertedLists:
         count = rows.count()
         centres = np.zeros((1, 0))
         if count >= lists:
-            # Only the centres come from a sample of a large store; every row is listed.
-            train = rows
-            wanted = lists * TRAIN_ROWS_PER_LIST
-            if count > wanted:
-                train = rows.sample(fraction=min(1.0, 1.1 * wanted / count), seed=seed)
             doubles = F.col("embedding").cast("array<double>")
-            vectors = train.select(array_to_vector(doubles).alias("v"))
+            vectors = rows.select(array_to_vector(doubles).alias("v"))
             model = KMeans(k=lists, seed=seed, featuresCol="v").fit(vectors)
             centres = np.array(model.clusterCenters())
         shared = spark.sparkContext.broadcast(centres)
@@ -274,7 +280,7 @@ class InvertedLists:
         rows = self.spark.read.parquet(f"{self.base}/rows")
         small = _bounded(queries, MAX_BROADCAST_QUERIES)
         if small is None:
-            return knn_join(queries, rows, k)
+            return _in_blocks(queries, lambda block: self.search(block, k, probes))
         ids, vectors = small
         if not self.centres.shape[1] or not len(ids):
             return best_hits(_scan(rows, ids, vectors, k), k)
@@ -303,7 +309,7 @@ def knn_lsh(entries, queries, k=10, tables=8, width=1.0, seed=42):
     )
     small = _bounded(queries, MAX_BROADCAST_QUERIES)
     if small is None:
-        return knn_join(queries, entries, k)
+        return _in_blocks(queries, lambda block: knn_lsh(entries, block, k, tables, width, seed))
     ids, vectors = small
     spark = entries.sparkSession
     rows = entries.where(F.col("embedding").isNotNull()).withColumn(

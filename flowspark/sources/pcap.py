@@ -76,6 +76,8 @@ def _records(source, start, end, size, fmt):
         place, found = 0, []
         while at + place < end and place + RECORD_HEADER <= len(data):
             length = int.from_bytes(data[place + 8 : place + 12], order)
+            if length > MAX_RECORD:
+                raise ValueError(f"capture record of {length} bytes at offset {at + place}")
             after = place + RECORD_HEADER + length
             if after > len(data) and at + len(data) < size:
                 break

@@ -81,13 +81,15 @@ class FlowStore:
         return last["total_flows"] if last else 0
 
     def entries(self) -> DataFrame:
-        """The stored rows, up to the last batch that is complete."""
+        """The stored rows of all complete batches."""
         last = self.last_batch()
         if last is None:
             return self.spark.createDataFrame([], STORE_ENTRY)
         schema = T.StructType([*STORE_ENTRY.fields, T.StructField("batch_id", T.LongType())])
         rows = self.spark.read.schema(schema).parquet(f"{self.base}/entries")
-        return rows.where(F.col("batch_id") <= last["batch_id"]).drop("batch_id")
+        # A batch counts once its manifest row, one per batch, is written.
+        complete = self.manifest().select(F.col("batch_id").cast("long")).distinct()
+        return rows.join(complete, "batch_id", "left_semi").drop("batch_id")
 
     def append(self, flows: DataFrame, batch_id=None, order=("first_seq",), buckets=None) -> int:
         """Add flow records that carry an `embedding`; returns how many.

@@ -196,3 +196,14 @@ def test_one_key_partitioning_per_level(packets):
     """Two shuffles: packets to stretches, partial rows to flows."""
     plan = fl.flow_table(packets([packet(0, 0, A, B)]))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2
+
+
+def test_packets_without_a_capture_keep_their_sequence(packets):
+    from conftest import packet
+
+    from flowspark.operators.flows import flow_records, packet_sequence
+
+    rows = packets([packet(i, i * 1000, "1.1.1.1", "2.2.2.2") for i in range(5)])
+    rows = rows.withColumn("capture", F.lit(None).cast("string"))
+    assert packet_sequence(rows).count() == 5
+    assert flow_records(rows).count() == 1

@@ -100,3 +100,13 @@ def test_kmeans_finds_clear_clusters(spark, sample):
     assert all(r.n == 1 for r in per_label)
     xy = ln.reduce_2d(rows)
     assert xy.columns == ["id", "x", "y"] and xy.count() == 49
+
+
+def test_rows_without_a_label_are_normal(spark):
+    from flowspark.operators.learning import label_index, with_label_index
+
+    rows = spark.createDataFrame([(1, "scan"), (2, None), (3, "normal")], "id long, label string")
+    found = {r["id"]: (r["label"], r["label_idx"]) for r in with_label_index(rows).collect()}
+    assert found == {1: ("scan", 1), 2: ("normal", 0), 3: ("normal", 0)}
+    numbers = spark.createDataFrame([(1, 5), (2, None)], "id long, label int")
+    assert with_label_index(numbers).count() == label_index(numbers).count() == 2
