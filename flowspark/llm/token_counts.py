@@ -156,13 +156,19 @@ def _counter(path):
     return _made[path]
 
 
-TREES = "doc_id {id}, text string, n_pretokens long, n_tokens long, leaf_chars array<int>, leaf_tokens array<int>"
+TREES = "doc_id {id}, text_hash long, n_pretokens long, n_tokens long, leaf_chars array<int>, leaf_tokens array<int>"
+
+
+def _texts(docs, id_column, text_column):
+    text = F.col(text_column).cast("string")
+    return docs.select(F.col(id_column).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
 
 
 def build(docs: DataFrame, path=None, id_column="doc_id", text_column="text") -> DataFrame:
     """Written trees of whole texts: a row per row of `docs` with the leaves' sums (the sums
-    above follow from them). Null texts count as empty; a null id is a document too."""
-    docs = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
+    above follow from them) and a hash of the text, which itself stays where it is. Null
+    texts count as empty; a null id is a document too."""
+    docs = _texts(docs, id_column, text_column)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def make(batches):
@@ -182,25 +188,30 @@ def build(docs: DataFrame, path=None, id_column="doc_id", text_column="text") ->
                         for part in (found[i:i + LEAF] for i in range(0, len(found), LEAF))])
                 column = pa.list_(pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column("doc_id"), rows.column("text"), pa.array(pieces, pa.int64()),
+                    [rows.column("doc_id"), rows.column("text_hash"), pa.array(pieces, pa.int64()),
                      pa.array([sum(t for _, t in x) for x in leaves], pa.int64()),
                      pa.array([[c for c, _ in x] for x in leaves], column),
                      pa.array([[t for _, t in x] for x in leaves], column)],
-                    ["doc_id", "text", "n_pretokens", "n_tokens", "leaf_chars", "leaf_tokens"])
+                    ["doc_id", "text_hash", "n_pretokens", "n_tokens", "leaf_chars", "leaf_tokens"])
 
     return kept(docs.mapInArrow(make, TREES.format(id=kind)))
 
 
-def apply_edits(trees: DataFrame, edits: DataFrame, path=None) -> DataFrame:
+def apply_edits(
+    trees: DataFrame, docs: DataFrame, edits: DataFrame, path=None, id_column="doc_id", text_column="text"
+) -> DataFrame:
     """Counts after edits (doc_id, start, stop, replacement), in characters of the text.
 
-    A row per row of `trees`: doc_id, text (edited), n_tokens (before), n_tokens_edited,
+    A row per row of `docs`, the rows that `trees` were built from (an error if one has
+    none): doc_id, text (edited), n_tokens (before), n_tokens_edited,
     n_reencoded (pre-tokens counted again: those of the leaves an edit touches and of the
     leaf before when the edit begins right behind it), and the new leaves. Edits are put
     in order and clipped to the text and to each other; nulls in them count as 0 or as an
     empty replacement. Edits of a repeated id go to all its rows; those without a document
-    are ignored, and so are null ids.
+    are ignored, and so are null ids. The edits go to the trees first, as both are small
+    beside the texts; these move once at most.
     """
+    docs = _texts(docs, id_column, text_column)
     kind = trees.schema["doc_id"].dataType.simpleString()
     lists = edits.where("doc_id is not null").groupBy("doc_id").agg(
         F.collect_list(F.struct("start", "stop", "replacement")).alias("edits"))
@@ -215,6 +226,8 @@ def apply_edits(trees: DataFrame, edits: DataFrame, path=None) -> DataFrame:
                 texts, tokens, again, leaves = [], [], [], []
                 for text, chars, counts, own in zip(*[
                         rows.column(c).to_pylist() for c in ("text", "leaf_chars", "leaf_tokens", "edits")]):
+                    if chars is None:
+                        raise ValueError("a document has no tree of its text")
                     tree = Tree(list(zip(chars, counts)))
                     done, n = edit(counter, tree, text or "", [tuple(e.values()) for e in own or ()])
                     texts.append(done if own or text is not None else None)
@@ -229,7 +242,11 @@ def apply_edits(trees: DataFrame, edits: DataFrame, path=None) -> DataFrame:
                      pa.array([[t for _, t in x] for x in leaves], column)],
                     ["doc_id", "text", "n_tokens", "n_tokens_edited", "n_reencoded", "leaf_chars", "leaf_tokens"])
 
-    joined = trees.join(lists, "doc_id", "left").select("doc_id", "text", "n_tokens", "leaf_chars", "leaf_tokens", "edits")
+    # Rows that repeat an id and a text have the same tree.
+    edited = trees.dropDuplicates(["doc_id", "text_hash"]).join(lists, "doc_id", "left").withColumnRenamed(
+        "doc_id", "id").withColumnRenamed("text_hash", "hash")
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))
+    joined = docs.join(edited, same, "left").select("doc_id", "text", "n_tokens", "leaf_chars", "leaf_tokens", "edits")
     return joined.mapInArrow(
         change, f"doc_id {kind}, text string, n_tokens long, n_tokens_edited long, n_reencoded long, "
         "leaf_chars array<int>, leaf_tokens array<int>")
@@ -246,5 +263,5 @@ def op10_token_counts(spark: SparkSession, sf_dir) -> DataFrame:
         return F.struct(start.alias("start"), (start + length).alias("stop"), F.lit(new).alias("replacement"))
 
     edits = docs.select("doc_id", F.explode(F.array(at(1, 5, ""), at(2, 0, " inserted"), at(3, 3, "'s 42"))).alias("e"))
-    done = apply_edits(build(docs), edits.select("doc_id", "e.*"))
+    done = apply_edits(build(docs), docs, edits.select("doc_id", "e.*"))
     return done.select("doc_id", "n_tokens", "n_tokens_edited", "n_reencoded")

@@ -332,7 +332,7 @@ def test_token_counts(docs, spark):
              for i, t in texts.items() for s in [draw.randint(0, len(t or "")) for _ in range(3)]]
     edits += [(0, None, None, None), (None, 1, 2, "x"), (10 ** 6, 0, 0, "x"), (1, -5, 10 ** 9, "all new")]
     trees = token_counts.build(docs)
-    got = by_id(token_counts.apply_edits(trees, spark.createDataFrame(edits, "doc_id long, start int, stop int, replacement string")))
+    got = by_id(token_counts.apply_edits(trees, docs, spark.createDataFrame(edits, "doc_id long, start int, stop int, replacement string")))
     for i, text in texts.items():
         own, at = text or "", 0
         clean = []
@@ -407,6 +407,8 @@ CASES = {
     "licenses": lambda d: licenses.scan(d),
     "lines": lambda d: line_dedup.dedup_lines(d),
     "trees": lambda d: token_counts.build(d),
+    "edits": lambda d: token_counts.apply_edits(token_counts.build(d), d, d.sparkSession.createDataFrame(
+        [(2, 0, 3, "two"), (None, 0, 1, "x"), (9, 0, 1, "x")], "doc_id long, start int, stop int, replacement string")),
     "contamination": lambda d: decontaminate.contamination(
         d, d.sparkSession.createDataFrame([(1, "line of words"), (None, "here and")], "item_id int, text string")),
     "toxicity": lambda d: toxicity.score_documents(d, None),
@@ -424,6 +426,9 @@ def test_odd_and_empty_tables(odd, empty, name):
         assert {r["doc_id"]: r["n_removed"] for r in rows} == {None: 0, 1: 0, 2: 0, 3: 0, 4: 1}
     if name == "jaccard":
         assert {(r["doc_id"], r["component_id"]) for r in rows} == {(None, None), (1, 1), (2, 2), (3, 3), (4, 2)}
+    if name == "edits":
+        assert {(r["doc_id"], (r["text"] or "-")[:4]) for r in rows} == {
+            (None, "one "), (None, "-"), (1, "-"), (2, "two "), (3, "-"), (4, "one ")}
     if name == "lines":
         assert {r["doc_id"]: r["n_removed"] for r in rows} == {None: 0, 1: 0, 2: 0, 3: 0, 4: 1}
     if name == "contamination":
