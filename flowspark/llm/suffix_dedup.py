@@ -224,21 +224,24 @@ def repeated_spans(docs: DataFrame, length=100) -> DataFrame:
     again = active.join(contents.where("n > 1").select("bucket", "content", "first"), ["bucket", "content"])
     again = again.where(F.struct("doc_id", "at") != F.col("first"))
     start = F.shiftright("at", 16)
-    whole = again.select("doc_id", start.alias("start"), (
-        start + F.shiftright("at", 8).bitwiseAND(F.lit(255)) + length).alias("stop"))
+    whole = kept(again.select("doc_id", start.alias("start"), (
+        start + F.shiftright("at", 8).bitwiseAND(F.lit(255)) + length).alias("stop")))
+    drop(active)
     unlike = contents.groupBy("bucket").count().where("count > 1").select("bucket")
     runs = contents.join(unlike, "bucket").select("first.doc_id", "first.at")
     runs = runs.groupBy("doc_id").agg(F.collect_set("at").alias("ats"))
     halves = kept(_halves(docs.join(runs, "doc_id").select("doc_id", "text", "ats"), length, q))
+    drop(contents)
     double = halves.groupBy("key").count().where("count > 1").select("key")
     strings = kept(_strings(halves.join(double, "key")))
+    drop(halves)
     firsts = strings.groupBy("id").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n"))
     later = strings.join(firsts.where("n > 1").select("id", "first"), "id").where(
         F.struct("doc_id", "start") != F.col("first"))
     later = later.select("doc_id", "start", (F.col("start") + length).alias("stop"))
     spans = kept(whole.unionByName(later).groupBy("doc_id").agg(
         F.collect_list(F.struct("start", "stop")).alias("spans")))
-    drop(active, contents, halves, strings)
+    drop(whole, strings)
     return spans
 
 
