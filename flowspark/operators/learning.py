@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from flowspark.functions.vector import euclidean, l2_squared, matrix, squared_distances
 from flowspark.operators.blocks import BLOCK_ROWS, block_matrix
 from flowspark.operators.ids import broadcast_if_small, dense_ids, join_keys, mixed, prefixes, ranges
+from flowspark.session import cut
 
 # Anchors that may share one copy of a negative row before it is copied again.
 ANCHORS_PER_COPY = 4096
@@ -174,7 +175,8 @@ def davies_bouldin(rows: DataFrame, cluster="cluster", vector="embedding") -> Da
     """Mean over clusters of the worst (spread i + spread j) / distance of centres."""
     rows = rows.select(cluster, vector)
     centres = broadcast_if_small(_centroids(rows, cluster, vector), MAX_CENTRES)
-    spread = (
+    # One row per cluster, written once: both sides and their counts start from it.
+    spread = cut(
         rows.join(centres, cluster)
         .groupBy(cluster)
         .agg(F.avg(euclidean(vector, "_centre")).alias("_spread"), F.first("_centre").alias("_centre"))

@@ -91,10 +91,11 @@ class FlowStore:
         complete = self.manifest().select(F.col("batch_id").cast("long")).distinct()
         return rows.join(complete, "batch_id", "left_semi").drop("batch_id")
 
-    def append(self, flows: DataFrame, batch_id=None, order=("first_seq",), buckets=None) -> int:
+    def append(self, flows: DataFrame, batch_id=None, order=None, buckets=None) -> int:
         """Add flow records that carry an `embedding`; returns how many.
 
-        Ids go on from the batch before, dense and in `order`. The same `batch_id`
+        Ids go on from the batch before, dense and in `order`: by capture (where there is
+        one) and first packet, unless stated. The same `batch_id`
         written again replaces its rows.
         """
         if batch_id is None:
@@ -102,6 +103,10 @@ class FlowStore:
             batch_id = last["batch_id"] + 1 if last else 0
         before = self.last_batch(before=batch_id)
         start = before["total_flows"] if before else 0
+        if order is None:
+            # Each capture starts at 0: ranges of `first_seq` alone would be one hot bucket.
+            order = [c for c in ("capture", "first_seq") if c in flows.columns]
+            buckets = buckets or [*map(F.col, order[:-1]), ranges("first_seq")]
         buckets = buckets or [ranges(order[0])]
         flows = flows.withColumn("embedding", F.col("embedding").cast("array<float>"))
         flows = flows.persist(StorageLevel.MEMORY_AND_DISK)

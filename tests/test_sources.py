@@ -151,6 +151,16 @@ def test_store_ids_go_on_and_batches_replace(spark, packets, tmp_path):
     assert [r.flow_id.dst_ip for r in rows] == ["9.9.9.0", "9.9.9.1", "9.9.9.2", "9.9.9.0", "9.9.9.1"]
 
 
+def test_default_order_is_by_capture_first(spark, packets, tmp_path):
+    both = flows_of(packets, 2).withColumn("capture", F.lit("b")).unionByName(
+        flows_of(packets, 3).withColumn("capture", F.lit(None).cast("string")))
+    store = FlowStore(spark, str(tmp_path / "s"), dimension=12)
+    assert store.append(both) == 5
+    rows = store.entries().orderBy("_id").collect()
+    assert [r["_id"] for r in rows] == [0, 1, 2, 3, 4]
+    assert [r.flow_id.dst_ip[-1] for r in rows] == ["0", "1", "2", "0", "1"]
+
+
 def test_one_row_append(spark, packets, tmp_path):
     store = FlowStore(spark, str(tmp_path / "s"), dimension=12)
     assert store.append(flows_of(packets, 1)) == 1
