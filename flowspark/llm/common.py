@@ -109,10 +109,15 @@ def components(edges: DataFrame) -> DataFrame:
         roots.select("id", F.col("id").alias("component")))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Few small rows that take long each, dealt out again: merged by size they might all
-    end up in one task."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def passing(pairs: DataFrame, test) -> DataFrame:
+    """The distinct (u, v) of `pairs` that meet `test`, a condition that takes long for each.
+
+    Pairs are few and small, so that merged by size they might all end up in one task: they
+    are dealt out again first. The test is the input of an aggregate, as a filter would be
+    moved below that exchange."""
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = pairs.repartition(tasks, "u", "v")
+    return dealt.groupBy("u", "v").agg(F.bool_or(test).alias("passes")).where("passes").select("u", "v")
 
 
 # Ids that go to every task: 16 MB at most; more are joined by a shuffle.

@@ -5,7 +5,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowspark.llm.common import few, kept, linked_components, spread, table, utf8
+from flowspark.llm.common import few, kept, linked_components, passing, table, utf8
 
 _KNOWN_WORDS = 1_000_000
 SKETCH_BITS = 1024
@@ -194,7 +194,7 @@ def jaccard_components(docs: DataFrame, width=5, percent=80, id_column="doc_id",
             close = both.where(fits).select("u", "v").distinct()
             full = close.join(side("u", "n", "set"), "u").join(side("v", "n", "set"), "v")
             common = F.size(F.array_intersect("setu", "setv"))
-            return spread(full).where(common * (100 + percent) >= percent * total).select("u", "v").distinct()
+            return passing(full, common * (100 + percent) >= percent * total)
 
         return verify, sketches, near
 
