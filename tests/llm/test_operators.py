@@ -311,6 +311,39 @@ def test_line_dedup(spark):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def test_line_recall(spark):
+    """Pairs of lines that are alike by brute force: one word, several words, single letters."""
+    draw = random.Random(12)
+    stock = ["".join(draw.choice("abcdefghijklmno") for _ in range(draw.randint(2, 10))) for _ in range(2000)]
+    pairs = []
+    for i in range(300):
+        line = [draw.choice(stock) for _ in range([6, 12, 20, 40][i % 4])]
+        near, left = list(line), len(" ".join(line)) // 10
+        for _ in range(1 if i % 3 == 0 else 30):
+            k = draw.randrange(len(near))
+            if i % 3 < 2 and len(near[k]) <= left:
+                left -= len(near[k])
+                near[k] = "".join(draw.choice("pqrst") for _ in near[k])
+            elif i % 3 == 2 and draw.random() < 0.12 * len(near) / 30:
+                near[k] = near[k][:1] + "x" + near[k][2:]
+        a, b = " ".join(line), " ".join(near)
+        if a != b and edit_distance(a, b) <= max(len(a), len(b)) // 10:
+            pairs.append((a, b))
+    rows = [(k * 1000 + i, x) for i, pair in enumerate(pairs) for k, x in enumerate(pair)]
+    got = by_id(line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert len(pairs) > 200 and not any(got[i]["n_removed"] for i in range(len(pairs)))
+    assert sum(got[1000 + i]["n_removed"] for i in range(len(pairs))) >= 0.97 * len(pairs)
+
+
 def test_simhash_pairs_share_a_key(spark):
     draw = random.Random(5)
     values = []
