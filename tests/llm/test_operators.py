@@ -344,6 +344,21 @@ def test_line_recall(spark):
     assert sum(got[1000 + i]["n_removed"] for i in range(len(pairs))) >= 0.97 * len(pairs)
 
 
+def test_short_lines_and_lines_without_blanks(spark, tmp_path):
+    """Of the query: all copies of non-blank lines go. Of the function: blanks are not needed."""
+    draw = random.Random(4)
+    odd = ["".join(chr(draw.randrange(0x4E00, 0x9000)) for _ in range(90)), "tab\tand\tmany\tmore\tcolumns",
+           "no\u00a0break\u00a0blanks\u00a0are\u00a0here", "https://example.org/" + "abcdefghij/" * 8]
+    short = ["menu", "read more", "x", "\u4e00\u4e8c"]
+    texts = ["\n".join([*odd, "", *short, "  "])] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    rows = by_id(line_dedup.op9_line_dedup(spark, str(tmp_path)))
+    assert [rows[i]["places_removed"] for i in range(3)] == [[], *[[0, 1, 2, 3, 5, 6, 7, 8]] * 2]
+    rows = by_id(line_dedup.dedup_lines(docs))
+    assert [rows[i]["places_removed"] for i in range(3)] == [[], *[[0, 1, 2, 3]] * 2]
+
+
 def test_simhash_pairs_share_a_key(spark):
     draw = random.Random(5)
     values = []
