@@ -359,6 +359,19 @@ def test_short_lines_and_lines_without_blanks(spark, tmp_path):
     assert [rows[i]["places_removed"] for i in range(3)] == [[], *[[0, 1, 2, 3]] * 2]
 
 
+def test_long_lines(spark):
+    """Beyond 4,000 characters: other order of the words is unlike, a letter in many words is alike."""
+    draw = random.Random(9)
+    line = ["".join(draw.choice("abcdefghijklmno") for _ in range(draw.randint(3, 9))) for _ in range(800)]
+    mixed = draw.sample(line, len(line))
+    other = ["".join(draw.choice("abcdefghijklmno") for _ in range(draw.randint(3, 9))) for _ in range(800)]
+    changed = [w[:1] + "x" + w[2:] if k % 8 == 0 else w for k, w in enumerate(other)]
+    rows = [(i, " ".join(x)) for i, x in enumerate([line, mixed, other, changed])]
+    assert all(len(x) > 4000 for _, x in rows)
+    got = by_id(line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert [got[i]["n_removed"] for i in range(4)] == [0, 0, 0, 1]
+
+
 def test_simhash_pairs_share_a_key(spark):
     draw = random.Random(5)
     values = []
