@@ -1,6 +1,7 @@
 """The registered queries of this folder: name -> (query, SQL for DuckDB or None)."""
 
 from flowspark.llm.decontaminate import op2_decontaminate
+from flowspark.llm.fill_in_middle import OP12_SQL, op12_fill_in_middle
 from flowspark.llm.jaccard_join import op6_jaccard_join
 from flowspark.llm.licenses import op8_licenses
 from flowspark.llm.line_dedup import op9_line_dedup
@@ -22,4 +23,5 @@ QUERIES = {
     "op8_licenses": (op8_licenses, None),
     "op9_line_dedup": (op9_line_dedup, None),
     "op10_token_counts": (op10_token_counts, None),
+    "op12_fill_in_middle": (op12_fill_in_middle, OP12_SQL),
 }
