@@ -11,6 +11,7 @@ from flowspark.llm.suffix_dedup import op4_suffix_dedup
 from flowspark.llm.token_counts import op10_token_counts
 from flowspark.llm.toxicity import op3_toxicity
 from flowspark.llm.unit_dedup import OP5_SQL, op5_unit_dedup
+from flowspark.llm.whitening import op11_whitening
 
 QUERIES = {
     "op1_packing": (op1_packing, None),
@@ -23,5 +24,6 @@ QUERIES = {
     "op8_licenses": (op8_licenses, None),
     "op9_line_dedup": (op9_line_dedup, None),
     "op10_token_counts": (op10_token_counts, None),
+    "op11_whitening": (op11_whitening, None),
     "op12_fill_in_middle": (op12_fill_in_middle, OP12_SQL),
 }
