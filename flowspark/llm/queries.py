@@ -3,6 +3,7 @@
 from flowspark.llm.decontaminate import op2_decontaminate
 from flowspark.llm.fill_in_middle import OP12_SQL, op12_fill_in_middle
 from flowspark.llm.jaccard_join import op6_jaccard_join
+from flowspark.llm.language import op13_language
 from flowspark.llm.licenses import op8_licenses
 from flowspark.llm.line_dedup import op9_line_dedup
 from flowspark.llm.nearest import op7_nearest
@@ -26,4 +27,5 @@ QUERIES = {
     "op10_token_counts": (op10_token_counts, None),
     "op11_whitening": (op11_whitening, None),
     "op12_fill_in_middle": (op12_fill_in_middle, OP12_SQL),
+    "op13_language": (op13_language, None),
 }
