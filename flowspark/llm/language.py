@@ -9,6 +9,7 @@ from flowspark.llm.common import few, kept, table
 
 # The sample that is learned from: of each language, the texts of so many ids of least hash.
 SAMPLE_PER_LANGUAGE = 400
+SHARES = 64
 # Landmarks in all, dealt out over the languages, and the length of the piece of a text
 # that is one.
 LANDMARKS, PIECE = 192, 2000
@@ -16,7 +17,9 @@ LANDMARKS, PIECE = 192, 2000
 ORDER = 3
 RIDGE = 1e-3
 # Characters and documents that are worked on at once; a longer text goes in slices.
-BLOCK_CHARS, BLOCK_DOCS = 1 << 20, 256
+BLOCK_CHARS, BLOCK_DOCS = 1 << 18, 256
+# Rows that are decoded at once, and numbers of the table of their n-grams.
+BLOCK_ROWS, BLOCK_CELLS = 500, 1 << 21
 # Codes up to this number are looked up in a table, others by bisection.
 _TABLE = 1 << 22
 _COLUMNS = 8192
@@ -155,7 +158,7 @@ class Kernel:
 
     def blocks(self, texts):
         """(begin, end) of stretches of `texts` that fit the bounds; a long text stands alone."""
-        most = max(1, min(BLOCK_DOCS, (1 << 23) // max(1, len(self.vocabulary))))
+        most = max(1, min(BLOCK_DOCS, BLOCK_CELLS // max(1, len(self.vocabulary))))
         begin, held = 0, 0
         for i, text in enumerate(texts):
             if i > begin and (held + len(text) > BLOCK_CHARS or i - begin >= most):
@@ -166,20 +169,28 @@ class Kernel:
             yield begin, len(texts)
 
 
-def _decoded(column):
+def _decoded(batches):
+    """Stretches of the batches, each with its texts."""
     import pyarrow as pa
 
-    return [(t or b"").decode("utf-8", "replace") for t in column.cast(pa.binary()).to_pylist()]
+    for batch in batches:
+        for at in range(0, batch.num_rows, BLOCK_ROWS):
+            rows = batch.slice(at, BLOCK_ROWS)
+            packed = rows.column("text").cast(pa.binary()).to_pylist()
+            yield rows, [(t or b"").decode("utf-8", "replace") for t in packed]
 
 
 def sample_of(docs: DataFrame, per_language) -> DataFrame:
     """Written: (lang, doc_id, place, text), of each language at most `per_language` ids, by
-    the least hash; of rows that repeat an id, the least text. The ranking carries no texts,
-    and each task ranks its own rows before they are shuffled."""
+    the least hash; of rows that repeat an id, the least text. The ranking carries no texts.
+    Each task ranks its own rows first, then each of SHARES parts of a language is ranked, so
+    that no task gets more than so many times the sample of a language."""
     known = docs.where(f"lang is not null and text is not null and {HELD_OUT} <> 1")
     ids = known.groupBy("lang", "doc_id").agg(F.count("*").alias("rows"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = ids.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_language)
+    picked = ids.withColumn("share", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SHARES)))
+    for keys in (["lang", "share"], ["lang"]):
+        order = Window.partitionBy(*keys).orderBy(F.xxhash64("doc_id"), "doc_id")
+        picked = picked.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_language)
     picked = kept(picked.select("lang", "doc_id", "place"))
     return kept(known.join(few(picked), ["lang", "doc_id"]).groupBy("lang", "doc_id", "place").agg(
         F.min("text").alias("text")))
@@ -209,8 +220,7 @@ def train(docs: DataFrame, per_language=SAMPLE_PER_LANGUAGE, landmarks=LANDMARKS
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
-            texts = _decoded(batch.column("text"))
+        for batch, texts in _decoded(batches):
             for begin, end in shared.value.blocks(texts):
                 found, _ = shared.value.against(texts[begin:end])
                 packed = [r.tobytes() for r in found.astype(np.float64)]
@@ -261,8 +271,7 @@ def languages(docs: DataFrame, model, id_column="doc_id", text_column="text") ->
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
-            texts = _decoded(batch.column("text"))
+        for batch, texts in _decoded(batches):
             best, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
             if shared.value is not None:
                 kernel, weights, names = shared.value
