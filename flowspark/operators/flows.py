@@ -9,8 +9,9 @@ a large share of a capture. So no step here gathers a whole flow in one task:
   smaller shuffle. Counts, sums and moments merge exactly; the gap across a stretch
   border comes from the last time of the stretch before.
 
-Inside, a missing port is -1, so that the key columns are never null and one hash
-partitioning serves grouping, windows and joins. Results show it as null again.
+Inside, a missing port is -1 and a missing capture is marked, so that the key columns are
+never null and one hash partitioning serves grouping, windows and joins. Results show
+them as null again.
 """
 
 from pyspark.sql import DataFrame, functions as F
@@ -23,7 +24,7 @@ from flowspark.functions.packet import (
     protocol_name,
 )
 from flowspark.schema import FLOW_ID_FIELDS, STATISTICAL_FIELDS, TEMPORAL_FIELDS
-from flowspark.operators.ids import join_keys
+from flowspark.operators.ids import given_back, never_null
 
 CHUNK = 1 << 20
 SEGMENT = 1 << 16
@@ -78,7 +79,7 @@ def canonical(packets: DataFrame) -> DataFrame:
     )
 
 
-def _keyed(packets, entropy, chunk):
+def _keyed(packets, scope, entropy, chunk):
     """Canonical packets with -1 ports, entropy instead of the payload, and stretch.
 
     The entropy is taken here, before any shuffle: payload bytes are never moved.
@@ -86,17 +87,18 @@ def _keyed(packets, entropy, chunk):
     keyed = canonical(packets)
     # Every IPv4 packet has addresses and a protocol. Saying so keeps the optimizer from
     # adding null tests, which would compute the ends once more for each test.
-    never_null = {
+    defaults = {
         "src_ip": "''",
         "src_port": NO_PORT,
         "dst_ip": "''",
         "dst_port": NO_PORT,
         "protocol": NO_PORT,
     }
-    rest = [c for c in keyed.columns if c not in ("payload", *never_null)]
+    rest = [c for c in keyed.columns if c not in ("payload", *scope, *defaults)]
     columns = [
         *[F.col(c) for c in rest],
-        *[F.expr(f"coalesce({c}, {default})").alias(c) for c, default in never_null.items()],
+        *[never_null(keyed.schema[c].dataType, c) for c in scope],
+        *[F.expr(f"coalesce({c}, {default})").alias(c) for c, default in defaults.items()],
         F.expr(f"coalesce(seq DIV {chunk}, 0L)").alias("stretch"),
     ]
     if entropy:
@@ -133,7 +135,7 @@ def flow_partials(packets: DataFrame, scope=("capture",), entropy=True, head=0,
     extra = [f"ts_us - lag(ts_us) {arrival} AS gap_us"]
     if head:
         extra.append(f"row_number() {arrival} AS _rn")
-    rows = _keyed(packets, entropy, chunk).selectExpr("*", *extra)
+    rows = _keyed(packets, scope, entropy, chunk).selectExpr("*", *extra)
     aggs = [
         "count(1) AS packets",
         "sum(CAST(pkt_len AS BIGINT)) AS bytes",
@@ -222,7 +224,8 @@ def _flags_summary():
 
 def _finish(merged, scope, entropy, head):
     open_ports = {p: f"nullif({p}, {NO_PORT})" for p in ("src_port", "dst_port")}
-    kept = [f"{open_ports.get(c, c)} AS {c}" for c in (*scope, *FLOW_ID_FIELDS)]
+    kept = [f"{open_ports.get(c, c)} AS {c}" for c in FLOW_ID_FIELDS]
+    given = [given_back(merged.schema[c].dataType, c) for c in scope]
     columns = [
         *kept,
         "first_seq",
@@ -249,7 +252,7 @@ def _finish(merged, scope, entropy, head):
     ]
     if head:
         names.append(F.expr(_temporal_of_head(entropy)))
-    return merged.select(*[F.expr(c) for c in columns], *names)
+    return merged.select(*given, *[F.expr(c) for c in columns], *names)
 
 
 def _temporal_of_head(entropy):
@@ -289,7 +292,7 @@ def packet_sequence(packets: DataFrame, scope=("capture",), entropy=True, chunk=
     This is the temporal tier in long form, whole for flows of any length.
     """
     key = [*scope, *FLOW_ID_FIELDS]
-    keyed = _keyed(packets, entropy, chunk)
+    keyed = _keyed(packets, scope, entropy, chunk)
     stretches = _aggregate(
         keyed, [*key, "stretch"], ["count(1) AS _n", "max_by(ts_us, seq) AS _last_us"]
     )
@@ -304,8 +307,7 @@ def packet_sequence(packets: DataFrame, scope=("capture",), entropy=True, chunk=
     inside = keyed.selectExpr(
         "*", f"lag(ts_us) {arrival} AS _lag_us", f"row_number() {arrival} AS _rn"
     )
-    return join_keys(inside, borders, [*key, "stretch"]).selectExpr(
-        *scope,
+    columns = [
         "src_ip",
         f"nullif(src_port, {NO_PORT}) AS src_port",
         "dst_ip",
@@ -317,7 +319,9 @@ def packet_sequence(packets: DataFrame, scope=("capture",), entropy=True, chunk=
         "CAST(pkt_len AS DOUBLE) AS pkt_size",
         "direction",
         "entropy" if entropy else "0.0D AS entropy",
-    )
+    ]
+    given = [given_back(keyed.schema[c].dataType, c) for c in scope]
+    return inside.join(borders, [*key, "stretch"]).select(*given, *[F.expr(c) for c in columns])
 
 
 def temporal_segments(sequence: DataFrame, scope=("capture",), segment=SEGMENT) -> DataFrame:
@@ -367,12 +371,15 @@ def flow_records(packets: DataFrame, scope=("capture",), chunk=CHUNK, segment=SE
         "segment", F.explode(F.sequence(F.lit(0).cast("long"), last))
     )
     ports = ["src_port", "dst_port"]
+    kinds = {c: flows.schema[c].dataType for c in scope}
     dense = {p: F.coalesce(p, F.lit(NO_PORT)) for p in ports}
-    joined = join_keys(
-        flows.withColumns(dense), lists.withColumns(dense), [*scope, *FLOW_ID_FIELDS, "segment"]
+    dense |= {c: never_null(kind, c) for c, kind in kinds.items()}
+    joined = flows.withColumns(dense).join(
+        lists.withColumns(dense), [*scope, *FLOW_ID_FIELDS, "segment"]
     )
-    joined = joined.withColumns({p: F.nullif(p, F.lit(NO_PORT)) for p in ports})
-    return nest(joined, "segment", "first_seq", *scope)
+    open_again = {p: F.nullif(p, F.lit(NO_PORT)) for p in ports}
+    open_again |= {c: given_back(kind, c) for c, kind in kinds.items()}
+    return nest(joined.withColumns(open_again), "segment", "first_seq", *scope)
 
 
 def stored_flows(packets: DataFrame, scope=("capture",), chunk=CHUNK, head=STORED_PACKETS):

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from flowspark.functions.vector import euclidean, l2_squared, matrix, squared_distances
 from flowspark.operators.blocks import BLOCK_ROWS, block_matrix
-from flowspark.operators.ids import broadcast_if_small, dense_ids, join_keys, mixed, prefixes, ranges
+from flowspark.operators.ids import broadcast_if_small, dense_ids, given_back, mixed, never_null
 from flowspark.session import cut
 
 # Anchors that may share one copy of a negative row before it is copied again.
@@ -35,14 +35,16 @@ def labelled(rows: DataFrame, label="label") -> DataFrame:
 def label_index(rows: DataFrame, label="label") -> DataFrame:
     """Each distinct label with its place in sorted order (`label_idx`)."""
     distinct = labelled(rows, label).select(label).distinct()
-    text = isinstance(rows.schema[label].dataType, T.StringType)
-    bucket = prefixes(label) if text else ranges(label)
-    return dense_ids(distinct, [label], [bucket], "label_idx").select(label, "label_idx")
+    return dense_ids(distinct, [label], "label_idx")
 
 
 def with_label_index(rows: DataFrame, label="label") -> DataFrame:
     rows = labelled(rows, label)
-    return join_keys(rows, broadcast_if_small(label_index(rows, label)), [label])
+    kind = rows.schema[label].dataType
+    key, columns = {label: never_null(kind, label)}, rows.columns
+    index = broadcast_if_small(label_index(rows, label).withColumns(key))
+    joined = rows.withColumns(key).join(index, label).withColumns({label: given_back(kind, label)})
+    return joined.select(*columns, "label_idx")
 
 
 def label_groups(rows: DataFrame, id="id", label="label", width=1 << 20) -> DataFrame:
@@ -51,7 +53,7 @@ def label_groups(rows: DataFrame, id="id", label="label", width=1 << 20) -> Data
     A label of up to `width` rows is one row, with `part` 0.
     """
     indexed = with_label_index(rows.select(F.col(id).alias("id"), label), label)
-    numbered = dense_ids(indexed, ["id"], [ranges("id", width)], "_pos", partition=["label_idx"])
+    numbered = dense_ids(indexed, ["id"], "_pos", partition=["label_idx"])
     return numbered.groupBy("label_idx", F.floor(F.col("_pos") / width).alias("part")).agg(
         F.array_sort(F.collect_list("id")).alias("ids")
     )
@@ -60,7 +62,7 @@ def label_groups(rows: DataFrame, id="id", label="label", width=1 << 20) -> Data
 def ranked_in_label(rows: DataFrame, label="label", id="id", carry=()) -> DataFrame:
     """`id, label_idx, rank` with a dense rank inside each label, by id."""
     indexed = with_label_index(rows.select(F.col(id).alias("id"), label, *carry), label)
-    ranked = dense_ids(indexed, ["id"], [ranges("id")], "rank", partition=["label_idx"])
+    ranked = dense_ids(indexed, ["id"], "rank", partition=["label_idx"])
     return ranked.select("id", "label_idx", "rank", *carry)
 
 

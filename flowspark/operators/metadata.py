@@ -8,6 +8,11 @@ Spark runs as a per-task top-k.
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from flowspark.functions.packet import bar, percent
+from flowspark.sources import store as stores
+from flowspark.sources.store import FlowStore
+
+# Ranges of ids a lookup begins with.
+FIRST_RANGES = 8
 
 
 def first_hits(entries: DataFrame, condition, k=10) -> DataFrame:
@@ -15,12 +20,18 @@ def first_hits(entries: DataFrame, condition, k=10) -> DataFrame:
 
 
 def flows_by_ip(entries, ip, k=10):
+    """The first k flows with the address at either end. A store is asked through its look-up
+    tables, and only the parts that may hold such flows are opened."""
     hit = (F.col("flow_id.src_ip") == ip) | (F.col("flow_id.dst_ip") == ip)
+    if isinstance(entries, FlowStore):
+        return _first_stored(entries, entries.ranges_with("ip", ip), hit, k)
     return first_hits(entries, hit, k)
 
 
 def flows_by_port(entries, port, k=10):
     hit = (F.col("flow_id.src_port") == port) | (F.col("flow_id.dst_port") == port)
+    if isinstance(entries, FlowStore):
+        return _first_stored(entries, entries.ranges_with("port", port), hit, k)
     return first_hits(entries, hit, k)
 
 
@@ -28,17 +39,41 @@ def flows_by_protocol(entries, name, k=10):
     """Transport or application protocol, whatever the case of `name`."""
     wanted = F.upper(F.lit(name))
     hit = (F.col("protocol.proto") == wanted) | (F.col("protocol.app_proto") == wanted)
+    if isinstance(entries, FlowStore):
+        return _first_stored(entries, entries.ranges_of_protocol(name.upper()), hit, k)
     return first_hits(entries, hit, k)
 
 
 def flow_by_id(entries, index):
-    """The one row with this id; `IndexError` when there is none."""
+    """The one row with this id; `IndexError` when there is none. A store knows its ids from
+    the list of its parts, and opens one of them."""
+    if isinstance(entries, FlowStore):
+        if not 0 <= index < entries.total_flows():
+            raise IndexError(f"no flow {index}")
+        return entries.entries([(index, index)])
     row = entries.where(F.col("_id") == index)
     if index < 0 or row.isEmpty():
         raise IndexError(f"no flow {index}")
     return row
 
 
+def _first_stored(store, ranges, condition, k):
+    """The first k hits in a store. Ranges of ids are searched in order, twice as many each
+    time, so a value that is everywhere is found in the first of them."""
+    ranges, taken = _split(ranges), FIRST_RANGES
+    while True:
+        hits = first_hits(store.entries(ranges[:taken]), condition, k)
+        if taken >= len(ranges) or hits.count() == k:
+            return hits
+        taken *= 2
+
+
+def _split(ranges):
+    """Long ranges in pieces of a unit, so that a few of them are few rows."""
+    unit = stores.UNIT
+    return [(b, min(b + unit - 1, hi)) for lo, hi in ranges for b in range(lo, hi + 1, unit)]
+
+
 def _nested_field(schema: T.StructType, path: str):
     kind = schema
     for part in path.split("."):
@@ -119,11 +154,20 @@ def details(entries: DataFrame) -> DataFrame:
     )
 
 
+def _counts(entries, field, name):
+    """Flows per protocol name, with the first id of each. A store has them with its parts."""
+    if isinstance(entries, FlowStore):
+        known, flows, first = entries.tallies(), F.sum("flows"), F.min("first_id")
+    else:
+        known, flows, first = entries.select(f"protocol.{field}", "_id"), F.count(F.lit(1)), F.min("_id")
+    return known.groupBy(F.coalesce(F.col(field), F.lit("UNKNOWN")).alias(name)).agg(
+        flows.alias("flows"), first.alias("first_id")
+    )
+
+
 def _distribution(entries, field, name):
     """Counts with their share of all flows; the total is taken from the counts."""
-    counts = entries.groupBy(F.coalesce(F.col(field), F.lit("UNKNOWN")).alias(name)).agg(
-        F.count(F.lit(1)).alias("flows"), F.min("_id").alias("first_id")
-    )
+    counts = _counts(entries, field, name)
     # A handful of rows, one per protocol name.
     total = counts.agg(F.sum("flows").alias("_total"))
     return (
@@ -135,25 +179,33 @@ def _distribution(entries, field, name):
 
 
 def protocol_distribution(entries: DataFrame) -> DataFrame:
-    return _distribution(entries, "protocol.proto", "proto").drop("first_id").orderBy("proto")
+    return _distribution(entries, "proto", "proto").drop("first_id").orderBy("proto")
 
 
 def app_protocol_distribution(entries: DataFrame, top=10) -> DataFrame:
     """The most frequent application protocols; ties in the order first stored."""
-    counts = _distribution(entries, "protocol.app_proto", "app_proto")
+    counts = _distribution(entries, "app_proto", "app_proto")
     return counts.orderBy(F.desc("flows"), "first_id").limit(top).drop("first_id")
 
 
 def store_totals(entries: DataFrame, index_type="flatl2", dimension=64) -> DataFrame:
-    total = F.count(F.lit(1))
-    return entries.agg(
-        total.alias("total_flows"),
+    """One row of totals. Of a store they are added up from its parts; no entry is read."""
+    if isinstance(entries, FlowStore):
+        index_type, dimension = entries.index_type, entries.dimension
+        known, flows = entries.tallies(), F.coalesce(F.sum("flows"), F.lit(0))
+        size, packets = F.sum("bytes"), F.sum("packets")
+    else:
+        known, flows = entries, F.count(F.lit(1))
+        size, packets = F.sum(_stat("total_bytes")), F.sum(_stat("packet_count"))
+    sums = known.agg(flows.alias("total_flows"), size.alias("size"), packets.alias("packets"))
+    return sums.select(
+        "total_flows",
         F.lit(index_type).alias("index_type"),
         F.lit(dimension).alias("dimension"),
-        F.coalesce(F.sum(_stat("total_bytes")), F.lit(0.0)).alias("total_bytes"),
-        F.coalesce(F.sum(_stat("packet_count")), F.lit(0.0)).alias("total_packets"),
-        F.avg(_stat("total_bytes")).alias("avg_bytes"),
-        F.avg(_stat("packet_count")).alias("avg_packets"),
+        F.coalesce("size", F.lit(0.0)).alias("total_bytes"),
+        F.coalesce("packets", F.lit(0.0)).alias("total_packets"),
+        F.try_divide("size", "total_flows").alias("avg_bytes"),
+        F.try_divide("packets", "total_flows").alias("avg_packets"),
     )
 
 
@@ -161,11 +213,12 @@ def statistics(entries: DataFrame) -> DataFrame:
     """Both count maps in one row."""
 
     def as_map(field, name):
-        counts = entries.groupBy(F.coalesce(F.col(field), F.lit("UNKNOWN")).alias("k")).count()
-        return counts.agg(F.map_from_entries(F.collect_list(F.struct("k", "count"))).alias(name))
+        # A handful of rows, one per protocol name.
+        counts = _counts(entries, field, "k")
+        return counts.agg(F.map_from_entries(F.collect_list(F.struct("k", "flows"))).alias(name))
 
-    return as_map("protocol.proto", "protocol_distribution").join(
-        as_map("protocol.app_proto", "app_protocol_distribution")
+    return as_map("proto", "protocol_distribution").join(
+        F.broadcast(as_map("app_proto", "app_protocol_distribution"))
     )
 
 

@@ -351,7 +351,7 @@ def indexed_search(store, queries, k=10, filters=None, probes=8, **options):
         return search(entries, queries, k, filters, **options)
     if store.index_type == "hnsw":
         return knn_lsh(entries, queries, k)
-    place = f"{store.base}/lists/total={store.total_flows()}"
+    place = f"{store.base}/lists/version={store.version()}"
     if path_exists(store.spark, f"{place}/centres"):
         lists = InvertedLists.load(store.spark, place)
     else:

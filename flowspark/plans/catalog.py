@@ -14,7 +14,7 @@ from flowspark.functions import packet as pk, vector as vec
 from flowspark.operators import embedding as emb, flows as fl, learning as ln
 from flowspark.operators import metadata as md, search as se
 from flowspark.operators.blocks import knn_join
-from flowspark.operators.ids import dense_ids, ranges
+from flowspark.operators.ids import dense_ids
 from flowspark.plans import counterparts as sql
 from flowspark.schema import FLOW_ID_FIELDS, STATISTICAL_FIELDS
 from flowspark.session import cut, scratch_dir
@@ -65,14 +65,32 @@ def labelled(spark, sf):
 
 
 def entries(spark, sf, entropy=False):
-    """Flow entries with dense ids, without lists and embeddings.
-
-    Numbering looks at the flows twice, so they are written once: packets are
-    shuffled once only.
-    """
+    """Flow entries with dense ids, without lists and embeddings."""
     flows = fl.flow_table(packets(spark, sf), entropy=entropy)
-    nested = cut(fl.nest(flows.withColumn("temporal", F.lit(None)), "first_seq").drop("temporal"))
-    return dense_ids(nested, ["first_seq"], [ranges("first_seq")], "_id")
+    nested = fl.nest(flows.withColumn("temporal", F.lit(None)), "first_seq").drop("temporal")
+    return dense_ids(nested, ["first_seq"], "_id")
+
+
+_stores = {}
+
+
+def batch_store(spark, sf):
+    """A store of all flows, appended in batches of consecutive flows and partly compacted.
+    One for a session and a folder of tables: several queries ask it."""
+    key = spark.sparkContext.applicationId, sf
+    if key not in _stores:
+        flows = fl.flow_table(packets(spark, sf)).withColumn("temporal", F.lit(None))
+        nested = cut(emb.with_features(fl.nest(flows, "first_seq").drop("temporal"), "embedding"))
+        store = FlowStore(spark, scratch_dir(spark), dimension=len(emb.FEATURES))
+        # Borders of the batches: one row.
+        borders = nested.agg(F.percentile_approx("first_seq", [0.2, 0.4, 0.6, 0.8]).alias("b")).first()["b"] or []
+        edges = [None, *sorted(set(borders)), None]
+        for low, high in zip(edges, edges[1:]):
+            rows = nested if low is None else nested.where(F.col("first_seq") > low)
+            store.append(rows if high is None else rows.where(F.col("first_seq") <= high), order=("first_seq",))
+        store.compact(rows_per_part=max(1, store.total_flows() // 2))
+        _stores[key] = store
+    return _stores[key]
 
 
 def feature_entries(spark, sf):
@@ -137,6 +155,15 @@ def iso_timestamps(spark, sf):
     return packets(spark, sf).select("seq", pk.iso_timestamp("ts_us").alias("timestamp"))
 
 
+@query("sequence_without_capture", sql.INTERARRIVAL)
+def sequence_without_capture(spark, sf):
+    """A missing capture is a capture of its own: null keys are joined like others."""
+    given = packets(spark, sf)
+    missing = given.withColumn("capture", F.lit(None).cast(given.schema["capture"].dataType))
+    rows = fl.packet_sequence(missing, entropy=False).where("capture IS NULL")
+    return rows.select("seq", "pos", F.round("dt", 6).alias("dt"))
+
+
 @query("interarrival", sql.INTERARRIVAL)
 def interarrival(spark, sf):
     rows = fl.packet_sequence(packets(spark, sf), entropy=False)
@@ -351,6 +378,42 @@ def store_totals(spark, sf):
     return rounded(md.store_totals(entries(spark, sf)), "avg_bytes", "avg_packets")
 
 
+@query("store_lookup_ip", sql.flows_by_ip("10.0.0.7", 10))
+def store_lookup_ip(spark, sf):
+    return _hit(md.flows_by_ip(batch_store(spark, sf), "10.0.0.7", 10))
+
+
+@query("store_lookup_port", sql.flows_by_port(53, 10))
+def store_lookup_port(spark, sf):
+    return _hit(md.flows_by_port(batch_store(spark, sf), 53, 10))
+
+
+@query("store_lookup_protocol", sql.flows_by_protocol("https", 10))
+def store_lookup_protocol(spark, sf):
+    return _hit(md.flows_by_protocol(batch_store(spark, sf), "https", 10))
+
+
+@query("store_lookup_id", sql.flow_by_id(7))
+def store_lookup_id(spark, sf):
+    return md.details(md.flow_by_id(batch_store(spark, sf), 7))
+
+
+@query("store_kept_totals", sql.STORE_TOTALS.replace("64 AS dimension", f"{len(emb.FEATURES)} AS dimension"))
+def store_kept_totals(spark, sf):
+    """Totals that are kept with the parts of a store."""
+    return rounded(md.store_totals(batch_store(spark, sf)), "avg_bytes", "avg_packets")
+
+
+@query("store_kept_protocols", sql.PROTOCOL_DISTRIBUTION)
+def store_kept_protocols(spark, sf):
+    return rounded(md.protocol_distribution(batch_store(spark, sf)).drop("bar"), "pct")
+
+
+@query("store_kept_applications", sql.APP_PROTOCOL_TOP10)
+def store_kept_applications(spark, sf):
+    return rounded(md.app_protocol_distribution(batch_store(spark, sf), 10).drop("bar"), "pct")
+
+
 # ---- features and embeddings -----------------------------------------------------
 
 

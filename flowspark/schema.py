@@ -99,3 +99,32 @@ MANIFEST = T.StructType(
         T.StructField("index_trained", T.BooleanType()),
     ]
 )
+
+# One part of a flow store: consecutive batches in one folder.
+PART = T.StructType(
+    [
+        T.StructField("batch_id", T.LongType()),
+        T.StructField("until_batch", T.LongType()),
+        T.StructField("folder", T.StringType()),
+        T.StructField("lookup", T.StringType()),
+        T.StructField("rows", T.LongType()),
+        T.StructField("first_id", T.LongType()),
+        T.StructField("dimension", T.IntegerType()),
+        T.StructField("index_type", T.StringType()),
+        T.StructField(
+            "tallies",
+            T.ArrayType(
+                T.StructType(
+                    [
+                        T.StructField("proto", T.StringType()),
+                        T.StructField("app_proto", T.StringType()),
+                        T.StructField("flows", T.LongType()),
+                        T.StructField("first_id", T.LongType()),
+                        T.StructField("bytes", T.DoubleType()),
+                        T.StructField("packets", T.DoubleType()),
+                    ]
+                )
+            ),
+        ),
+    ]
+)

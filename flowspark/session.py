@@ -58,10 +58,20 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+# Spark 4.1 can drop a finished query's shuffle files at once instead of at some later
+# garbage collection of the driver; a table written from them no longer needs them.
+_DROP_SHUFFLE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared folder and read it back: a lost executor costs
-    only the tasks it held, and later passes do not redo the work before."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(scratch_dir(spark))
-    return df.checkpoint(eager=True)
+    """`df` as a table in the shared folder, read back: a lost executor costs only the tasks
+    it held, and later passes do not redo the work before. It is computed once."""
+    spark = ship(df.sparkSession)
+    path = f"{scratch_dir(spark)}/cut"
+    before = spark.conf.get(_DROP_SHUFFLE, None)
+    spark.conf.set(_DROP_SHUFFLE, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_DROP_SHUFFLE) if before is None else spark.conf.set(_DROP_SHUFFLE, before)
+    return spark.read.schema(df.schema).parquet(path)

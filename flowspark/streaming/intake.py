@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowspark.operators.embedding import embed_flows, output_dim
 from flowspark.operators.flows import flow_partials, in_windows, merge_partials, stored_flows
-from flowspark.operators.ids import ranges
 from flowspark.sources.store import FlowStore, path_exists
 
 INTERVAL = "10 seconds"
@@ -40,7 +39,7 @@ class Intake:
         self.weights, self.scaler, self.variant = weights, scaler, variant
         self.checkpoint = checkpoint
         offset = self._stored_offset()
-        if path_exists(spark, f"{self.base}/manifest"):
+        if path_exists(spark, f"{self.base}/versions"):
             if offset is None and not load_existing:
                 raise ValueError(f"{base} holds a store: load it or choose another place")
             self.store = FlowStore.load(spark, base)
@@ -50,7 +49,7 @@ class Intake:
             raise ValueError("the store's width is not the encoder's")
         if offset is None:
             last = self.store.last_batch()
-            offset = last["batch_id"] + 1 if last else 0
+            offset = 0 if last is None else last + 1
             spark.createDataFrame([(offset,)], "offset long").coalesce(1).write.mode(
                 "overwrite"
             ).parquet(self._offset_path())
@@ -79,7 +78,6 @@ class Intake:
             rows,
             number,
             order=("capture", "first_seq"),
-            buckets=[F.col("capture"), ranges("first_seq")],
         )
         self._report(number, packets, added)
 
@@ -162,5 +160,5 @@ class WindowedIntake:
             if newest is None:
                 newest = 0
             limit = newest - int((self.seconds + delay_seconds) * 1_000_000)
-            partials = partials.where(F.col("window_us") <= F.lit(limit))
+            partials = partials.where(F.col("window_us.window_us") <= F.lit(limit))
         return merge_partials(partials, self.SCOPE)

@@ -207,3 +207,24 @@ def test_packets_without_a_capture_keep_their_sequence(packets):
     rows = rows.withColumn("capture", F.lit(None).cast("string"))
     assert packet_sequence(rows).count() == 5
     assert flow_records(rows).count() == 1
+
+
+@pytest.fixture
+def no_broadcasts(spark):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    yield
+    spark.conf.set(key, before)
+
+
+@pytest.mark.parametrize("name, most", [("temporal_sequences", 5), ("stored_ids", 4), ("label_groups", 7)])
+def test_exchanges_of_queries(spark, no_broadcasts, name, most):
+    """Null-safe keys cost no shuffle of their own."""
+    import re
+
+    from flowspark.plans.catalog import QUERIES
+
+    plan = QUERIES[name][0](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    plan = plan.split("== Initial Plan ==")[0]
+    assert len(re.findall(r"(?<!Broadcast)Exchange ", plan)) <= most

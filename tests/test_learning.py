@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from flowspark.operators import learning as ln
-from flowspark.operators.ids import dense_ids, ranges
+from flowspark.operators.ids import dense_ids, numbered, offsets
 from pyspark.sql import functions as F
 
 
@@ -20,10 +20,27 @@ def sample():
     return vectors, labels
 
 
-def test_dense_ids_over_many_buckets(spark):
-    df = spark.createDataFrame([(x * 7,) for x in range(50)], "v long")
-    got = dense_ids(df, ["v"], [ranges("v", 20)], "n", start=100).orderBy("v").collect()
-    assert [r.n for r in got] == list(range(100, 150))
+def test_dense_ids(spark):
+    rows = [(x * 7919 % 1009, x % 3 if x % 5 else None) for x in range(300)]
+    df = spark.createDataFrame(rows, "v long, g int").repartition(7)
+    got = dense_ids(df, ["v"], "n", start=100).orderBy("v").collect()
+    assert [r.n for r in got] == list(range(100, 400))
+    inside = dense_ids(df, ["v"], "n", partition=["g"]).collect()
+    for group in (None, 0, 1, 2):
+        own = sorted((r.v, r.n) for r in inside if r.g == group)
+        assert [n for _, n in own] == list(range(len(own))) and own
+    assert dense_ids(df.limit(0), ["v"], "n").count() == 0
+
+
+def test_dense_ids_gather_no_rows(spark):
+    """One task only ever sees a row for each range, whatever the values of the key."""
+    df = spark.range(5000).select(F.xxhash64("id").alias("v"))
+    rows = numbered(df, ["v"])
+    parts = rows.select("_part").distinct().count()
+    plan = offsets(rows)._jdf.queryExecution().executedPlan().toString()
+    single = plan[plan.index("SinglePartition"):]
+    assert "HashAggregate" in single and parts <= 2
+    assert [r.n for r in dense_ids(df, ["v"], "n").orderBy("v").collect()] == list(range(5000))
 
 
 def test_label_index_is_sorted(spark, sample):

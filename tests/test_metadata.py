@@ -2,7 +2,7 @@ import pytest
 from conftest import packet
 
 from flowspark.operators import flows as fl, metadata as md
-from flowspark.operators.ids import dense_ids, ranges
+from flowspark.operators.ids import dense_ids
 
 A = "10.0.0.1"
 
@@ -16,7 +16,7 @@ def entries(packets):
         packet(3, 3, "10.0.0.5", "10.0.0.6", 6, 0, 80, 60),
         packet(4, 4, A, "10.0.0.2", 6, 40001, 443, 1500, flags=18),
     ]
-    return dense_ids(fl.stored_flows(packets(rows)), ["first_seq"], [ranges("first_seq")], "_id")
+    return dense_ids(fl.stored_flows(packets(rows)), ["first_seq"], "_id")
 
 
 def ids(df):

@@ -161,6 +161,126 @@ def test_default_order_is_by_capture_first(spark, packets, tmp_path):
     assert [r.flow_id.dst_ip[-1] for r in rows] == ["0", "1", "2", "0", "1"]
 
 
+def test_a_repeated_batch_may_shrink_or_empty(spark, packets, tmp_path):
+    store = FlowStore(spark, str(tmp_path / "s"), dimension=12)
+    store.append(flows_of(packets, 3))
+    store.append(flows_of(packets, 4, 10))
+    assert store.append(flows_of(packets, 2, 10), batch_id=1) == 2
+    assert store.total_flows() == 5 == store.entries().count()
+    assert store.append(flows_of(packets, 2, 10).limit(0), batch_id=1) == 0
+    assert store.total_flows() == 3 == store.entries().count() and store.last_batch() == 1
+    with pytest.raises(ValueError):  # ids of batch 1 would move
+        store.append(flows_of(packets, 2, 10), batch_id=1) and store.append(flows_of(packets, 1), batch_id=0)
+    assert sorted(r["_id"] for r in store.entries().collect()) == list(range(5))
+
+
+def many_batches(spark, base, monkeypatch, batches=1000, each=10):
+    """A store of many small parts, written at once."""
+    from flowspark.schema import PART
+    from flowspark.sources import store as st
+
+    monkeypatch.setattr(st, "UNIT", each)
+    rows = spark.range(batches * each, numPartitions=1).selectExpr(
+        "id AS _id", "current_timestamp() AS _indexed_at",
+        "named_struct('src_ip', concat('10.0.', id DIV 20, '.1'), 'src_port', CAST(id AS INT), 'dst_ip', '9.9.9.9', "
+        "'dst_port', 53, 'protocol', 17) AS flow_id",
+        "named_struct('proto', 'UDP', 'app_proto', 'DNS', 'flags_summary', 'NONE') AS protocol", f"lpad(id DIV {each}, 9, '0') AS folder")
+    rows.write.partitionBy("folder").parquet(f"{base}/entries")
+    store = st.FlowStore(spark, base, dimension=12)
+    store._write_lookup(st.lookup_rows(rows, 0, batches * each - 1), "all")
+    parts = [(b, b, f"folder={b:09d}", "all", each, b * each, 12, "flatl2", [("UDP", "DNS", each, b * each, 1.0, 2.0)])
+             for b in range(batches)]
+    store._commit(None, [], spark.createDataFrame(parts, PART))
+    return store
+
+
+def test_lookups_open_few_of_many_parts(spark, tmp_path, monkeypatch):
+    from flowspark.operators import metadata as md
+
+    store = many_batches(spark, str(tmp_path / "s"), monkeypatch)
+    every = len(store.entries().inputFiles())
+    assert every == 1000
+
+    def opened(df, ids):
+        assert [r["_id"] for r in df.orderBy("_id").collect()] == ids
+        return len(df.inputFiles())
+
+    assert opened(md.flow_by_id(store, 4321), [4321]) == 1
+    assert opened(md.flows_by_ip(store, "10.0.77.1", 100), list(range(1540, 1560))) <= 0.01 * every
+    assert opened(md.flows_by_port(store, 9999), [9999]) <= 0.01 * every
+    assert opened(md.flows_by_ip(store, "10.99.99.99"), []) <= 0.01 * every
+    # What all flows have is found in the first parts.
+    assert opened(md.flows_by_ip(store, "9.9.9.9", 10), list(range(10))) <= 0.05 * every
+    assert opened(md.flows_by_port(store, 53, 15), list(range(15))) <= 0.05 * every
+    assert opened(md.flows_by_protocol(store, "dns", 5), list(range(5))) <= 0.05 * every
+    assert md.flows_by_protocol(store, "http").count() == 0
+    for index in (-1, 10_000):
+        with pytest.raises(IndexError):
+            md.flow_by_id(store, index)
+    # Totals read no entries.
+    for totals in (md.store_totals(store), md.protocol_distribution(store), md.statistics(store)):
+        assert not any("/entries/" in f for f in totals.inputFiles())
+    assert md.store_totals(store).first().total_packets == 2000.0
+
+
+def test_compaction_of_many_parts(spark, tmp_path, monkeypatch):
+    from flowspark.operators import metadata as md
+
+    store = many_batches(spark, str(tmp_path / "s"), monkeypatch, batches=50)
+    assert store.compact(rows_per_part=200) == 49
+    assert [p["rows"] for p in store.parts()] == [200, 200, 90, 10]
+    assert len({p["lookup"] for p in store.parts()}) == 2
+    rows = md.flows_by_ip(store, "10.0.20.1", 100)
+    assert [r["_id"] for r in rows.orderBy("_id").collect()] == list(range(400, 420))
+    assert not any("/entries/000000000-" in f for f in rows.inputFiles())
+    assert md.store_totals(store).first().total_packets == 100.0
+
+
+def test_compaction_under_readers(spark, packets, tmp_path):
+    from flowspark.operators import metadata as md
+
+    store = FlowStore(spark, str(tmp_path / "s"), dimension=12)
+    for b in range(5):
+        store.append(flows_of(packets, 3, 10 * b))
+    store.append(flows_of(packets, 3).limit(0))
+    want = sorted((r["_id"], r.flow_id.dst_ip, r["_indexed_at"]) for r in store.entries().collect())
+    reader, before = FlowStore.load(spark, store.base, store.version()), md.store_totals(store).collect()
+    began = reader.entries()
+    assert store.compact(rows_per_part=9) == 3  # of five, the newest stays
+    for rows in (began, reader.entries(), store.entries()):
+        assert sorted((r["_id"], r.flow_id.dst_ip, r["_indexed_at"]) for r in rows.collect()) == want
+    assert [(p["batch_id"], p["until_batch"], p["rows"]) for p in store.parts()] == [(0, 2, 9), (3, 3, 3), (4, 4, 3)]
+    assert md.store_totals(store).collect() == before
+    assert [r["_id"] for r in md.flows_by_ip(store, "9.9.9.1").orderBy("_id").collect()] == [1, 4, 7, 10, 13]
+    assert store.append(flows_of(packets, 2, 40), batch_id=4) == 2  # a restart after compaction
+    with pytest.raises(ValueError):
+        store.append(flows_of(packets, 3), batch_id=1)
+    assert store.append(flows_of(packets, 1, 90)) == 1 and store.total_flows() == 15
+    store.vacuum(keep=1)
+    assert len(store.versions()) == 1 and store.entries().count() == 15
+    assert len(list((tmp_path / "s" / "entries").iterdir())) == len(store.parts())
+    assert [r["_id"] for r in md.flows_by_ip(store, "9.9.9.0").orderBy("_id").collect()] == [0, 3, 6, 9, 12, 14]
+
+
+def test_a_lost_writer_leaves_no_version(spark, packets, tmp_path):
+    store = FlowStore(spark, str(tmp_path / "s"), dimension=12)
+    store.append(flows_of(packets, 3))
+    (tmp_path / "s" / "versions" / "000000001").mkdir()
+    assert store.version() == 0 and store.entries().count() == 3
+    assert store.append(flows_of(packets, 2, 10)) == 2 and store.version() == 1
+
+
+def test_many_protocol_names_are_counted_when_asked(spark, packets, tmp_path, monkeypatch):
+    from flowspark.operators import metadata as md
+    from flowspark.sources import store as st
+
+    monkeypatch.setattr(st, "MOST_TALLIES", 0)
+    store = FlowStore(spark, str(tmp_path / "s"), dimension=12)
+    store.append(flows_of(packets, 3))
+    assert store.parts() and md.store_totals(store).first().total_flows == 3
+    assert md.flows_by_protocol(store, "tcp").count() == 3
+
+
 def test_one_row_append(spark, packets, tmp_path):
     store = FlowStore(spark, str(tmp_path / "s"), dimension=12)
     assert store.append(flows_of(packets, 1)) == 1
