@@ -41,6 +41,25 @@ def block_matrix(left, right, kernel, schema, left_id, right_id, block_rows=BLOC
     return cells.applyInPandas(kernel, schema)
 
 
+def nearest_in_block(k, exclude_self=False):
+    """A function of a block of queries and a block of entries: the k best hits of each query."""
+
+    def top(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"query_id": [], "id": [], "distance": []})
+        query_ids, ids = left["query_id"].to_numpy(), right["_id"].to_numpy()
+
+        def same(part):
+            return query_ids[part, None] == ids[None, :]
+
+        at, found, d = nearest(
+            matrix(left["vector"]), matrix(right["embedding"]), ids, k, same if exclude_self else None
+        )
+        return pd.DataFrame({"query_id": query_ids[at], "id": found, "distance": d})
+
+    return top
+
+
 def best_hits(hits: DataFrame, k) -> DataFrame:
     """The k best hits of each query with their rank, ties by id."""
     order = Window.partitionBy("query_id").orderBy("distance", "id")
@@ -163,24 +182,8 @@ def knn_join(
             "part", "_id", "embedding", own_e.alias("_eb"), all_q.alias("_qb")
         )
 
-        def top(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            if not len(left) or not len(right):
-                return pd.DataFrame({"query_id": [], "id": [], "distance": []})
-            query_ids, ids = left["query_id"].to_numpy(), right["_id"].to_numpy()
-
-            def same(part):
-                return query_ids[part, None] == ids[None, :]
-
-            at, found, d = nearest(
-                matrix(left["vector"]),
-                matrix(right["embedding"]),
-                ids,
-                k,
-                same if exclude_self else None,
-            )
-            return pd.DataFrame({"query_id": query_ids[at], "id": found, "distance": d})
-
         key = ["part", "_qb", "_eb"]
+        top = nearest_in_block(k, exclude_self)
         return q.groupBy(*key).cogroup(e.groupBy(*key)).applyInPandas(top, HITS)
 
     queries = queries.select("query_id", "vector")

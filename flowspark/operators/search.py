@@ -5,27 +5,19 @@ are squared Euclidean. Results have `query_id, rank, distance, id`; ties go to t
 smaller id.
 """
 
-import functools
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
-from flowspark.functions.vector import keep_nearest, matrix, nearest, squared_distances
+from flowspark.functions.vector import keep_nearest, nearest
 from flowspark.operators.blocks import HITS, best_hits, knn_join
 from flowspark.operators.ids import mixed
+from flowspark.operators.index import HashTables, InvertedLists, store_index  # noqa: F401
 from flowspark.operators.metadata import matching
-from flowspark.sources.store import path_exists
+from flowspark.session import scratch_dir
 
 MAX_BROADCAST_QUERIES = 2048
 
-# Fixed value: inverted lists of an `ivfflat` store.
-LISTS = 100
-
 # The wording of a context text, one line after the other.
 CONTEXT_HEADER = "Here are the most relevant network flows:"
 CONTEXT_LINES = [
@@ -57,7 +49,9 @@ def _bounded(queries, limit):
     if len(rows) > limit:
         return None
     ids = np.array([r["query_id"] for r in rows], np.int64)
-    return ids, np.array([r["vector"] for r in rows], np.float64).reshape(len(rows), -1)
+    if not rows:
+        return ids, np.zeros((0, 0))
+    return ids, np.array([r["vector"] for r in rows], np.float64)
 
 
 def _rows_of(batch: pa.RecordBatch, column):
@@ -220,140 +214,23 @@ def rag_context(entries, queries, k=5, sep="\n"):
     )
 
 
-def _in_blocks(queries: DataFrame, search) -> DataFrame:
-    """The same search for a query set of any size, in blocks that fit a broadcast. A block
-    that is still too large is dealt out again, by other hashes."""
-    count = queries.count()
-    blocks = 2 * count // MAX_BROADCAST_QUERIES + 2
-    block = F.pmod(F.xxhash64(F.lit(count), "query_id"), F.lit(blocks))
-    found = [search(queries.where(block == b)) for b in range(blocks)]
-    return functools.reduce(DataFrame.unionByName, found)
-
-
-class InvertedLists:
-    """Entries written below one folder per inverted list (`rows/list_id=N`).
-
-    A search reads only the folders of the lists it probes. With fewer rows than lists
-    there is nothing to train, and the search is exact over everything.
-    """
-
-    def __init__(self, spark, base, centres):
-        self.spark, self.base, self.centres = spark, base.rstrip("/"), centres
-
-    @classmethod
-    def build(cls, entries, base, lists=LISTS, seed=42):
-        spark, base = entries.sparkSession, base.rstrip("/")
-        rows = entries.where(F.col("embedding").isNotNull()).select("_id", "embedding")
-        count = rows.count()
-        centres = np.zeros((1, 0))
-        if count >= lists:
-            doubles = F.col("embedding").cast("array<double>")
-            vectors = rows.select(array_to_vector(doubles).alias("v"))
-            model = KMeans(k=lists, seed=seed, featuresCol="v").fit(vectors)
-            centres = np.array(model.clusterCenters())
-        shared = spark.sparkContext.broadcast(centres)
-
-        @F.pandas_udf(T.IntegerType())
-        def list_of(v: pd.Series) -> pd.Series:
-            centres = shared.value
-            if not len(v) or not centres.shape[1]:
-                return pd.Series(np.zeros(len(v), np.int32))
-            return pd.Series(squared_distances(matrix(v), centres).argmin(1).astype("int32"))
-
-        # The rebalance hint joins small pieces of a list and splits a large one.
-        rows.withColumn("list_id", list_of("embedding")).hint("rebalance", "list_id").write.mode(
-            "overwrite"
-        ).partitionBy("list_id").parquet(f"{base}/rows")
-        spark.createDataFrame(
-            [(i, [float(x) for x in c]) for i, c in enumerate(centres)],
-            "list_id int, centre array<double>",
-        ).coalesce(1).write.mode("overwrite").parquet(f"{base}/centres")
-        return cls(spark, base, centres)
-
-    @classmethod
-    def load(cls, spark, base):
-        base = base.rstrip("/")
-        stored = spark.read.parquet(f"{base}/centres").orderBy("list_id").collect()
-        return cls(spark, base, np.array([r["centre"] for r in stored], np.float64))
-
-    def search(self, queries, k=10, probes=1):
-        rows = self.spark.read.parquet(f"{self.base}/rows")
-        small = _bounded(queries, MAX_BROADCAST_QUERIES)
-        if small is None:
-            return _in_blocks(queries, lambda block: self.search(block, k, probes))
-        ids, vectors = small
-        if not self.centres.shape[1] or not len(ids):
-            return best_hits(_scan(rows, ids, vectors, k), k)
-        order = np.argsort(squared_distances(vectors, self.centres), axis=1)[:, :probes]
-        probed = np.zeros((len(ids), len(self.centres)), bool)
-        np.put_along_axis(probed, order, True, axis=1)
-        shared = self.spark.sparkContext.broadcast(probed)
-
-        def allowed(batch):
-            return shared.value[:, batch.column("list_id").to_numpy()]
-
-        wanted = [int(x) for x in np.flatnonzero(probed.any(0))]
-        kept = rows.where(F.col("list_id").isin(wanted))
-        return best_hits(_scan(kept, ids, vectors, k, False, allowed, ["list_id"]), k)
-
-
-def knn_lsh(entries, queries, k=10, tables=8, width=1.0, seed=42):
-    """Approximate search by random-projection hashing.
-
-    A row is a candidate of a query when they share a bucket in any hash table. The
-    hashed queries go to every task and the rows stay where they are, so a bucket that
-    holds much of the store costs no shuffle and no list of pairs.
-    """
-    lsh = BucketedRandomProjectionLSH(
-        inputCol="_v", outputCol="_h", bucketLength=width, numHashTables=tables, seed=seed
+def knn_lsh(entries, queries, k=10, tables=8, width=2.0, seed=42, projections=4, probes=2):
+    """Approximate search of rows that have no stored index: hash tables are written for this
+    one search. A store keeps its tables (`indexed_search`)."""
+    index = HashTables.build(
+        entries, scratch_dir(entries.sparkSession), tables=tables, projections=projections, width=width, seed=seed
     )
-    small = _bounded(queries, MAX_BROADCAST_QUERIES)
-    if small is None:
-        return _in_blocks(queries, lambda block: knn_lsh(entries, block, k, tables, width, seed))
-    ids, vectors = small
-    spark = entries.sparkSession
-    rows = entries.where(F.col("embedding").isNotNull()).withColumn(
-        "_v", array_to_vector(F.col("embedding").cast("array<double>"))
-    )
-    # Fitting draws the projections; it looks at the width of the first vector only.
-    model = lsh.fit(rows)
-    if not len(ids):
-        return best_hits(spark.createDataFrame([], HITS), k)
-
-    def hashed(df):
-        bucket = F.transform("_h", lambda h: F.get(vector_to_array(h), F.lit(0)))
-        return model.transform(df).withColumn("_b", bucket)
-
-    asked = spark.createDataFrame(
-        [(int(i), [float(x) for x in v]) for i, v in zip(ids, vectors)],
-        "query_id long, vector array<double>",
-    ).withColumn("_v", array_to_vector("vector"))
-    by_id = {r["query_id"]: r["_b"] for r in hashed(asked).select("query_id", "_b").collect()}
-    shared = spark.sparkContext.broadcast(np.array([by_id[i] for i in ids], np.float64))
+    return index.search(queries, k, probes)
 
-    def allowed(batch):
-        rows_b = _rows_of(batch, "_b")
-        mask = np.zeros((len(shared.value), len(batch)), bool)
-        for t in range(rows_b.shape[1]):
-            mask |= shared.value[:, t][:, None] == rows_b[:, t][None, :]
-        return mask
 
-    return best_hits(_scan(hashed(rows), ids, vectors, k, False, allowed, ["_b"]), k)
-
-
-def indexed_search(store, queries, k=10, filters=None, probes=8, **options):
+def indexed_search(store, queries, k=10, filters=None, probes=None, **options):
     """Search a `FlowStore` the way its index type says. Filtered search is exact.
 
-    Inverted lists are built once for a state of the store and kept beside it.
+    An index is trained once and kept beside the store; only parts that it does not have
+    yet are added to it.
     """
-    entries = store.entries()
     if filters or store.index_type == "flatl2":
-        return search(entries, queries, k, filters, **options)
-    if store.index_type == "hnsw":
-        return knn_lsh(entries, queries, k)
-    place = f"{store.base}/lists/version={store.version()}"
-    if path_exists(store.spark, f"{place}/centres"):
-        lists = InvertedLists.load(store.spark, place)
-    else:
-        lists = InvertedLists.build(entries, place)
-    return lists.search(queries, k, probes)
+        return search(store.entries(), queries, k, filters, **options)
+    index, parts = store_index(store)
+    probes = probes or (8 if store.index_type == "ivfflat" else 2)
+    return index.search(queries, k, probes, parts)

@@ -529,15 +529,29 @@ def knn_post_filter(spark, sf):
     )
 
 
-@query("knn_ivf")
+@query("knn_ivf", sql.KNN_IVF)
 def knn_ivf(spark, sf):
-    lists = se.InvertedLists.build(vectors(spark, sf), scratch_dir(spark))
-    return _ranked(lists.search(label_centres(spark, sf), 10, probes=10))
+    """Lists around the first vectors, so that SQL can say what is in them; rows are added in
+    two parts."""
+    rows = vectors(spark, sf)
+    centres = rows.where(F.col("_id") < sql.IVF_LISTS).orderBy("_id").select("embedding").collect()
+    lists = se.InvertedLists.create(spark, scratch_dir(spark), [r["embedding"] for r in centres])
+    lists.add(rows.where("_id % 3 = 0"), "one")
+    lists.add(rows.where("_id % 3 <> 0"), "two")
+    return _ranked(lists.search(label_centres(spark, sf), 10, sql.IVF_PROBES))
 
 
-@query("knn_lsh")
+@query("knn_lsh", sql.KNN_LSH)
 def knn_lsh(spark, sf):
-    return _ranked(se.knn_lsh(vectors(spark, sf), label_centres(spark, sf), 10))
+    """Stored hash tables whose directions are made by arithmetic, with the next cells of each
+    query's own."""
+    n, places = np.arange(64), np.arange(sql.LSH_PROJECTIONS)
+    directions = [[(n * (3 * t + 7 * p + 1) + 5 * p + 11 * t) % 13 - 6.0 for p in places] for t in range(sql.LSH_TABLES)]
+    shifts = [[(2 * t + p) % 5 / 5 + 0.05 for p in places] for t in range(sql.LSH_TABLES)]
+    widths = np.full((sql.LSH_TABLES, sql.LSH_PROJECTIONS), sql.LSH_WIDTH)
+    tables = se.HashTables.create(spark, scratch_dir(spark), directions, shifts, widths)
+    tables.add(vectors(spark, sf))
+    return _ranked(tables.search(label_centres(spark, sf), 10, sql.LSH_PROBES))
 
 
 @query("nearest_zero_by_protocol", sql.NEAREST_ZERO)

@@ -440,6 +440,54 @@ KNN_EXACT = over(
         10,
     ),
 )
+IVF_LISTS, IVF_PROBES = 16, 4
+KNN_IVF = over(
+    "vectors centres",
+    _ranked.format(
+        f"""WITH lists AS (SELECT id AS list_id, v AS centre FROM vectors WHERE id < {IVF_LISTS}),
+        held AS (SELECT id, v, list_id FROM (
+            SELECT id, v, list_id, row_number() OVER (PARTITION BY id ORDER BY list_distance(v, centre), list_id) AS n
+            FROM vectors, lists) WHERE n = 1),
+        probed AS (SELECT label, c, list_id FROM (
+            SELECT label, c, list_id, row_number() OVER (PARTITION BY label ORDER BY list_distance(c, centre), list_id) AS n
+            FROM centres, lists) WHERE n <= {IVF_PROBES})
+        SELECT probed.label::BIGINT AS query_id, id, list_distance(v, c) ** 2 AS distance
+        FROM probed JOIN held USING (list_id)""",
+        10,
+    ),
+)
+LSH_TABLES, LSH_PROJECTIONS, LSH_WIDTH, LSH_PROBES = 4, 4, 5.0, 2
+KNN_LSH = over(
+    "vectors centres",
+    _ranked.format(
+        f"""WITH dirs AS (
+            SELECT t, p, list_transform(range(64), lambda n: ((n * (3 * t + 7 * p + 1) + 5 * p + 11 * t) % 13 - 6)::DOUBLE) AS dir,
+                (2 * t + p) % 5 / 5::DOUBLE + 0.05::DOUBLE AS shift
+            FROM range({LSH_TABLES}) a(t), range({LSH_PROJECTIONS}) b(p)),
+        cells AS (
+            SELECT id, t, list(floor(list_dot_product(v::DOUBLE[], dir) / {LSH_WIDTH}::DOUBLE + shift)::BIGINT ORDER BY p) AS cell
+            FROM vectors, dirs GROUP BY id, t),
+        asked AS (
+            SELECT label, t, list(list_dot_product(c::DOUBLE[], dir) / {LSH_WIDTH}::DOUBLE + shift ORDER BY p) AS place
+            FROM centres, dirs GROUP BY label, t),
+        own AS (
+            SELECT label, t, list_transform(place, lambda x: floor(x)::BIGINT) AS cell,
+                list_transform(place, lambda x: x - floor(x)) AS part FROM asked),
+        moves AS (
+            SELECT label, t, cell, j, row_number() OVER (PARTITION BY label, t ORDER BY
+                CASE WHEN j < {LSH_PROJECTIONS} THEN part[j + 1] ELSE 1 - part[j - {LSH_PROJECTIONS} + 1] END, j) AS n
+            FROM own, range({2 * LSH_PROJECTIONS}) m(j)),
+        probed AS (
+            SELECT label, t, cell FROM own UNION ALL
+            SELECT label, t, list_transform(cell, lambda x, i: x + CASE WHEN i = j % {LSH_PROJECTIONS} + 1
+                THEN CASE WHEN j < {LSH_PROJECTIONS} THEN -1 ELSE 1 END ELSE 0 END) AS cell
+            FROM moves WHERE n <= {LSH_PROBES}),
+        met AS (SELECT DISTINCT label, id FROM probed JOIN cells USING (t, cell))
+        SELECT label::BIGINT AS query_id, id, list_distance(v, c) ** 2 AS distance
+        FROM met JOIN (SELECT id, v FROM vectors) USING (id) JOIN (SELECT label, c FROM centres) USING (label)""",
+        10,
+    ),
+)
 KNN_JOIN = over(
     "pairs", _ranked.format("SELECT id AS query_id, other AS id, d ** 2 AS distance FROM pairs", 5)
 )

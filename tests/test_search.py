@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from flowspark.operators import search as se
+from flowspark.operators import index, search as se
 from flowspark.operators.blocks import knn_join
 from flowspark.operators.metadata import matching
 from flowspark.sources.store import FlowStore
@@ -145,16 +145,67 @@ def test_inverted_lists(spark, clustered, tmp_path):
     assert "list_id" in plan.split("PartitionFilters:")[1].split("]")[0]
 
 
+@pytest.mark.parametrize("block_rows", [7, 1 << 14])
+def test_many_queries_are_joined_with_lists_and_tables(spark, clustered, tmp_path, monkeypatch, block_rows):
+    """No query goes through the driver; a third of all rows is in one list."""
+    monkeypatch.setattr(se, "MAX_BROADCAST_QUERIES", 5)
+    monkeypatch.setattr(index, "BLOCK_ROWS", block_rows)
+    entries = table(spark, clustered)
+    queries = se.query_rows(entries)
+    queries = queries.unionByName(queries.limit(20))  # repeated rows are one query
+    want = brute(clustered, clustered, 6)
+    lists = se.InvertedLists.create(spark, str(tmp_path / "ivf"), clustered[[0, 120, 200]])
+    lists.add(entries)
+    same(as_dict(lists.search(queries, 6, probes=3)), want)
+    rows = lists.rows().withColumn("bucket", F.col("list_id").cast("long"))
+    routed = queries.crossJoin(spark.range(3).select(F.col("id").alias("bucket")))
+    same(as_dict(index.join_buckets(routed, rows, 6, block_rows)), want)
+    assert recall(se.knn_lsh(entries, queries, 6, width=3.0), want) > 0.9
+
+
+def test_lists_grow_and_replaced_parts_are_not_found(spark, tmp_path):
+    base = str(tmp_path / "ivf")
+    lists = se.InvertedLists.create(spark, base, [[0, 0], [10, 10]])
+    lists.add(table(spark, [[0, 1], [9, 10]]), "a")
+    centres = se.InvertedLists.load(spark, base)
+    centres.add(table(spark, [[0, 2], [11, 10]], start=10), "b")
+    query = se.query_vector(spark, [0, 0])
+    found = lambda parts=None, probes=2: [i for i, _ in as_dict(centres.search(query, 9, probes, parts)).get(0, [])]
+    assert found() == [0, 10, 1, 11] and found(probes=1) == [0, 10] and found(["b"]) == [10, 11]
+    centres.add(table(spark, [[0, 3]], start=20), "b")
+    assert found() == [0, 1, 20] or found() == [0, 20, 1]
+    assert found(["gone"]) == [] and centres.centres.tolist() == [[0, 0], [10, 10]]
+
+
 def test_inverted_lists_of_few_rows_lose_nothing(spark, tmp_path):
     entries = table(spark, [[i] for i in range(5)])
     lists = se.InvertedLists.build(entries, str(tmp_path / "ivf"))
     assert lists.search(se.query_vector(spark, [0]), 10).count() == 5
 
 
-def test_hashing_recall(spark, clustered):
+def test_no_queries_and_no_rows(spark, clustered, tmp_path):
     entries = table(spark, clustered)
-    hits = se.knn_lsh(entries, se.query_rows(entries), 10, tables=8, width=2.0)
-    assert recall(hits, brute(clustered, clustered, 10)) > 0.8
+    none = se.query_rows(entries).limit(0)
+    lists = se.InvertedLists.build(entries, str(tmp_path / "ivf"), lists=4)
+    for hits in (se.knn(entries, none, 3), lists.search(none, 3), se.knn_lsh(entries, none, 3), knn_join(none, entries, 3)):
+        assert hits.count() == 0
+    assert se.knn_lsh(entries.limit(0), se.query_rows(entries), 3).count() == 0
+
+
+def test_hashing_recall_and_share(spark, clustered, tmp_path):
+    entries = table(spark, clustered)
+    queries = se.query_rows(entries)
+    want = brute(clustered, clustered, 10)
+    tables = se.HashTables.build(entries, str(tmp_path / "h"), tables=8, projections=4, width=1.0)
+    assert recall(tables.search(queries, 10, probes=4), want) > 0.9
+    again = se.HashTables.load(spark, str(tmp_path / "h"))
+    hits = again.routed(queries, 4).join(again.rows(), "bucket")
+    pairs = hits.select("query_id", "_id").distinct().count()
+    # Far from all pairs: a third of the rows is one cluster, so a ninth is needed for it alone.
+    assert pairs < 0.35 * len(clustered) ** 2
+    scaled = [[float(x) * 1000 for x in v] for v in clustered]
+    moved = se.HashTables.build(table(spark, scaled), str(tmp_path / "h2"), tables=8, projections=4, width=1.0)
+    assert np.allclose(moved.widths, 1000 * tables.widths, rtol=1e-3)
 
 
 @pytest.mark.parametrize("kind", ["flatl2", "ivfflat", "hnsw"])
@@ -168,6 +219,17 @@ def test_store_search_by_index_type(spark, tmp_path, kind):
     for _ in range(2):
         hits = se.indexed_search(FlowStore.load(spark, store.base), query, 1)
         assert [(r.id, r.distance) for r in hits.collect()] == [(7, 0.0)]
+    # Rows added later are found, rows that are replaced are not, and ids stay when parts are joined.
+    late = table(spark, [vectors[7] + 9], start=500).withColumn("first_seq", F.col("_id")).drop("_id", "protocol")
+    store.append(late)
+    far = se.query_vector(spark, vectors[7] + 9)
+    assert [(r.id, r.distance) for r in se.indexed_search(store, far, 1).collect()] == [(150, 0.0)]
+    other = table(spark, [vectors[7] - 9], start=500).withColumn("first_seq", F.col("_id")).drop("_id", "protocol")
+    store.append(other, batch_id=1)
+    near = se.indexed_search(store, se.query_vector(spark, vectors[7] - 9), 1).collect()
+    assert [(r.id, r.distance) for r in near] == [(150, 0.0)]
+    assert all(r.distance > 1 for r in se.indexed_search(store, far, 200).collect())
+    assert kind == "flatl2" or store.index_trained()
 
 
 def test_context_text(spark):
