@@ -179,21 +179,33 @@ def test_strings_across_pieces(docs, monkeypatch):
     assert {i: r["n_removed"] for i, r in by_id(suffix_dedup.dedup_strings(docs)).items()} == whole
 
 
+@pytest.mark.parametrize("run_words", [1, 16])
 @pytest.mark.parametrize("unit", ["line", "paragraph"])
-def test_units(docs, unit):
+def test_units(docs, unit, run_words):
     mark = {"line": "\n", "paragraph": "\n\n"}[unit]
-    rows, seen = by_id(unit_dedup.dedup_units(docs, unit)), set()
+    rows, seen = by_id(unit_dedup.dedup_units(docs, unit, run_words)), set()
+    removed = 0
     for i, text in sorted(docs.select("doc_id", "text").collect()):
-        kept = []
-        for part in (text or "").split(mark):
+        parts = [] if text is None else text.split(mark)
+        runs, run, repeated = [], [], 0
+        for place, part in enumerate(parts):
             key = " ".join(words(part))
-            if not key or key not in seen:
-                kept.append(part)
+            if key in seen and key:
+                run.append(place)
+                repeated += 1
+            elif key:
+                runs.append(run)
+                run = []
             seen.add(key)
+        gone = {p for r in [*runs, run] if sum(len(words(parts[p])) for p in r) >= run_words for p in r}
+        removed += len(gone)
+        kept = [part for place, part in enumerate(parts) if place not in gone]
         assert rows[i]["text"] == (None if text is None else mark.join(kept))
+        assert (rows[i]["n_units"], rows[i]["n_repeated"], rows[i]["n_removed"]) == (len(parts), repeated, len(gone))
+        assert [s["place"] for s in rows[i]["spans"]] == sorted(gone)
         for s in rows[i]["spans"]:
-            part = text.encode()[s["start"]:s["start"] + s["length"]].decode()
-            assert " ".join(words(part)) in seen
+            assert text.encode()[s["start"]:s["start"] + s["length"]].decode() == parts[s["place"]]
+    assert removed
 
 
 def links(texts, width, percent):
@@ -484,7 +496,9 @@ def test_odd_and_empty_tables(odd, empty, name):
     if name == "strings":
         assert all(r["n_removed"] == 0 for r in rows)
     if name == "units":
-        assert {r["doc_id"]: r["n_removed"] for r in rows} == {None: 0, 1: 0, 2: 0, 3: 0, 4: 1}
+        # Ten words that are repeated: too short a run to go.
+        assert {r["doc_id"]: (r["n_repeated"], r["n_removed"]) for r in rows} == {
+            None: (0, 0), 1: (0, 0), 2: (0, 0), 3: (0, 0), 4: (1, 0)}
     if name == "jaccard":
         assert {(r["doc_id"], r["component_id"]) for r in rows} == {(None, None), (1, 1), (2, 2), (3, 3), (4, 2)}
     if name == "edits":
