@@ -153,7 +153,9 @@ def linked_components(members: DataFrame, prepare) -> tuple[DataFrame, DataFrame
     """
     several = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     shared = kept(members.join(several, "key"))
-    verify, sketches, close = prepare(kept(shared.select("id").distinct()))
+    ids = kept(shared.select("id").distinct())
+    verify, sketches, close = prepare(ids)
+    done = [shared, ids]  # tables that nothing reads any more at the end
     tested = links = found = None
     rest = shared.withColumn("component", F.col("id"))
     for orders in (_ORDERS[:1], _ORDERS[1:], None):
@@ -172,9 +174,11 @@ def linked_components(members: DataFrame, prepare) -> tuple[DataFrame, DataFrame
         pairs = pairs.select(F.least("id", "hub").alias("u"), F.greatest("id", "hub").alias("v")).distinct()
         pairs = kept(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"))
         more = kept(verify(pairs))
+        done.append(pairs)
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = more if links is None else links.unionByName(more)
         if found is None or not more.isEmpty():
+            done += [found] if found is not None else []
             found = kept(components(links))
         labelled = shared.join(found, "id", "left").select(
             "key", "id", F.coalesce("component", "id").alias("component"))
@@ -183,6 +187,8 @@ def linked_components(members: DataFrame, prepare) -> tuple[DataFrame, DataFrame
         ).where("low <> high").select("key")
         if orders:
             rest = kept(labelled.join(mixed, "key"))
+            done.append(rest)
             if rest.isEmpty():
                 break
+    drop(*done)
     return found, links

@@ -384,17 +384,90 @@ def test_long_lines(spark):
     assert [got[i]["n_removed"] for i in range(4)] == [0, 0, 0, 1]
 
 
-def test_simhash_pairs_share_a_key(spark):
+def test_simhash_is_the_majority_of_bits(spark):
     draw = random.Random(5)
-    values = []
-    for i in range(50):
-        v = draw.getrandbits(63)
-        values += [(2 * i, v), (2 * i + 1, v ^ sum(1 << b for b in draw.sample(range(63), 3)))]
-    hashed = spark.createDataFrame(values, "id long, simhash long")
-    for n in (10, 1 << 40):
-        keys = line_dedup.pigeonhole_keys(hashed, 3, n)
-        both = keys.alias("a").join(keys.alias("b"), "key").where("a.id % 2 = 0 and b.id = a.id + 1")
-        assert both.select("a.id").distinct().count() == 50
+    rows = [(i, [draw.getrandbits(64) - (1 << 63) for _ in range(1 + i % 31)]) for i in range(120)]
+    got = spark.createDataFrame(rows, "id long, hashes array<long>").select(
+        "id", line_dedup.simhash(F.col("hashes")).alias("h")).collect()
+    by = {r["id"]: r["h"] & (1 << 64) - 1 for r in got}
+    for i, hashes in rows:
+        assert by[i] == sum(1 << j for j in range(64) if 2 * sum(h >> j & 1 for h in hashes) > len(hashes))
+
+
+def test_sketches_share_a_block(spark):
+    """One word in the middle changed or gone leaves a block, at every length."""
+    draw = random.Random(6)
+    rows = []
+    for n in [*range(5, 60), 200, 3000]:
+        words = ["".join(draw.choice("abcdefgh") for _ in range(7)) for _ in range(n)]
+        k = n // 2
+        rows.append((n, " ".join(words), " ".join([*words[:k], "other", *words[k + 1:]]), " ".join(words[:k] + words[k + 1:])))
+    df = spark.createDataFrame(rows, "n int, a string, b string, c string")
+    one, two, three = (line_dedup.sketch(F.col(c)) for c in "abc")
+    got = df.select("n", F.size(F.array_intersect(one, two)).alias("x"), F.size(F.array_intersect(one, three)).alias("y"),
+                    F.size(one).alias("blocks")).collect()
+    assert all(r["x"] > 0 and r["y"] > 0 for r in got if r["n"] != 0), [tuple(r) for r in got]
+
+
+def grouped_lines(texts, min_words=1, percent=90):
+    """Plain version: places that go, by all pairs of lines and connected groups."""
+    lines = sorted((i, k, x.strip(" ").lower()) for i, t in texts for k, x in enumerate(t.split("\n")) if x.strip())
+    names = sorted({x for *_, x in lines})
+    root = {x: x for x in names}
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for a in names:
+        for b in names:
+            if a < b and edit_distance(a, b) * 100 <= max(len(a), len(b)) * (100 - percent):
+                root[find(a)] = find(b)
+    seen, gone = set(), {i: [] for i, _ in texts}
+    for i, k, x in lines:
+        if find(x) in seen:
+            gone[i].append(k)
+        seen.add(find(x))
+    return gone
+
+
+def group_texts():
+    draw = random.Random(21)
+    stock = ["".join(draw.choice("abcdefghijklmno") for _ in range(draw.randint(3, 9))) for _ in range(500)]
+    base = [[draw.choice(stock) for _ in range(draw.choice([4, 9, 18, 30]))] for _ in range(14)]
+    texts = []
+    for i in range(36):
+        own = []
+        for _ in range(3):
+            line = list(draw.choice(base))
+            for _ in range(draw.choice([0, 0, 1])):
+                k = draw.randrange(len(line))
+                line[k] = line[k][:-1] + draw.choice("xyz")
+            own.append(" ".join(line).upper() if draw.random() < 0.2 else " ".join(line))
+        texts.append((i, "\n".join([*own, "", "menu"])))
+    return texts
+
+
+@pytest.mark.parametrize("collide", [False, True])
+def test_groups_equal_all_pairs(spark, monkeypatch, collide):
+    """The groups and the line that stays, also where hashes of lines collide."""
+    if collide:
+        monkeypatch.setattr(line_dedup, "identities", lambda line: (F.pmod(F.xxhash64(line), F.lit(5)), F.xxhash64(F.lit(1), line)))
+    texts = group_texts()
+    got = by_id(line_dedup.dedup_lines(spark.createDataFrame(texts, "doc_id long, text string"), min_words=1))
+    want = grouped_lines(texts)
+    assert {i: r["places_removed"] for i, r in got.items()} == want
+    for i, text in texts:
+        assert got[i]["text"] == "\n".join(x for k, x in enumerate(text.split("\n")) if k not in want[i])
+    assert sum(map(len, want.values())) > 50
+
+
+def test_clashing_columns(spark):
+    names = ["doc_id", "text", "_doc", "_parts", "__places", "n_lines", "n_removed", "places_removed", "id", "place"]
+    rows = [(i, "some line that is here\nmenu", *([7] * 8)) for i in range(2)]
+    docs = spark.createDataFrame(rows, names)
+    got = line_dedup.dedup_lines(docs)
+    assert sorted(got.columns) == sorted(names)
+    assert {r["doc_id"]: (r["n_lines"], r["n_removed"], r["_doc"]) for r in got.collect()} == {0: (2, 0, 7), 1: (2, 1, 7)}
 
 
 def test_token_counts(docs, spark):
