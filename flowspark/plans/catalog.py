@@ -18,8 +18,10 @@ from flowspark.operators.ids import dense_ids
 from flowspark.plans import counterparts as sql
 from flowspark.schema import FLOW_ID_FIELDS, STATISTICAL_FIELDS
 from flowspark.session import cut, scratch_dir
+from flowspark.sources.capture_writer import write_captures
 from flowspark.sources.flow_files import read_flow_lines, write_flow_lines
 from flowspark.sources.packets import first_packets, packets_from_events
+from flowspark.sources.pcap import read_pcap
 from flowspark.sources.store import FlowStore
 
 KEY = FLOW_ID_FIELDS
@@ -123,6 +125,27 @@ def ipv4_packets(spark, sf):
     )
 
 
+def _captured(spark, sf, format):
+    """The packets as capture files, read again; ids in the order of the files."""
+    path = scratch_dir(spark)
+    write_captures(packets(spark, sf), path, format)
+    rows = dense_ids(read_pcap(spark, path, split_bytes=1 << 20), ["capture", "seq"], "id")
+    return rows.select(
+        "id", "ts_us", "ip_version", "src_ip", "src_port", "dst_ip", "dst_port", "proto", "pkt_len", "tcp_flags"
+    )
+
+
+@query("pcap_packets", sql.captured(False))
+def pcap_packets(spark, sf):
+    return _captured(spark, sf, "pcap")
+
+
+@query("pcapng_packets", sql.captured(True))
+def pcapng_packets(spark, sf):
+    """Files of two interfaces with different links and clocks."""
+    return _captured(spark, sf, "pcapng")
+
+
 @query("packet_limit", sql.PACKET_LIMIT)
 def packet_limit(spark, sf):
     return first_packets(packets(spark, sf), 100).select("seq", "ts_us", "ip_version", "pkt_len")

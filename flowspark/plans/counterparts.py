@@ -199,6 +199,22 @@ IPV4_PACKETS = over(
     "SELECT seq, ts_us, src_ip, src_port, dst_ip, dst_port, proto, pkt_len, tcp_flags "
     "FROM packets WHERE ip_version = 4",
 )
+def captured(two_links):
+    """What a capture file keeps of a packet; with `two_links`, odd ones have no link header."""
+    link = "CASE WHEN seq % 2 = 1 THEN 0 ELSE 14 END" if two_links else "14"
+    return over(
+        "packets",
+        f"""SELECT row_number() OVER (ORDER BY seq) - 1 AS id, ts_us, ip_version,
+            CASE WHEN v4 THEN src_ip END AS src_ip, CASE WHEN v4 AND proto IN (6, 17) THEN src_port END AS src_port,
+            CASE WHEN v4 THEN dst_ip END AS dst_ip, CASE WHEN v4 AND proto IN (6, 17) THEN dst_port END AS dst_port,
+            CASE WHEN v4 THEN proto END AS proto,
+            greatest(pkt_len, {link} + CASE WHEN v4 THEN 20 ELSE 40 END
+                + CASE proto WHEN 6 THEN 20 WHEN 17 THEN 8 ELSE 0 END + strlen(payload))::INTEGER AS pkt_len,
+            CASE WHEN v4 THEN tcp_flags END AS tcp_flags
+        FROM (SELECT *, ip_version = 4 AS v4 FROM packets)""",
+    )
+
+
 PACKET_LIMIT = over(
     "packets", "SELECT seq, ts_us, ip_version, pkt_len FROM packets ORDER BY seq LIMIT 100"
 )

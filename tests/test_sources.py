@@ -298,3 +298,109 @@ def test_store_errors(spark, packets, tmp_path):
     with pytest.raises(ValueError):
         bad = flows_of(packets, 1).withColumn("embedding", F.lit(None).cast("array<float>"))
         FlowStore(spark, str(tmp_path / "w"), dimension=12).append(bad)
+
+
+def block(kind, body, order="<"):
+    body += b"\0" * (-len(body) % 4)
+    return struct.pack(order + "II", kind, 12 + len(body)) + body + struct.pack(order + "I", 12 + len(body))
+
+
+def section(order="<"):
+    return block(0x0A0D0D0A, struct.pack(order + "IHHq", 0x1A2B3C4D, 1, 0, -1), order)
+
+
+def interface(link, order="<", resolution=None, shift=None):
+    options = b""
+    if resolution is not None:
+        options += struct.pack(order + "HHBBBB", 9, 1, resolution, 0, 0, 0)
+    if shift is not None:
+        options += struct.pack(order + "HHq", 14, 8, shift)
+    return block(1, struct.pack(order + "HHI", link, 0, 0) + options + (struct.pack(order + "HH", 0, 0) if options else b""), order)
+
+
+def enhanced(number, ticks, frame, order="<"):
+    return block(6, struct.pack(order + "IIIII", number, ticks >> 32, ticks & 0xFFFFFFFF, len(frame), len(frame)) + frame, order)
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+@pytest.mark.parametrize("zipped", [False, True])
+def test_pcapng_fields(spark, tmp_path, order, zipped):
+    import gzip
+
+    inner = ipv4(17, A, B, udp(7, 8, b"abc"))
+    other = {"<": ">", ">": "<"}[order]
+    data = b"".join([
+        section(order), interface(1, order), interface(101, order, resolution=9, shift=10),
+        enhanced(0, 100_000_005, FRAMES[0][1], order), block(5, b"\1" * 40, order),
+        enhanced(1, 2_000_000_123, inner, order), block(0x0BAD, b"note" * 9, order),
+        block(3, struct.pack(order + "I", len(FRAMES[1][1])) + FRAMES[1][1], order),
+        block(2, struct.pack(order + "HHIIII", 1, 0, 0, 5000, len(inner), len(inner)) + inner, order),
+        # Another section: its own byte order, and interfaces from 0 again.
+        section(other), interface(101, other, resolution=0x80 | 10), enhanced(0, 3 * 1024 + 512, inner, other),
+    ])
+    (tmp_path / "a.pcapng").write_bytes(gzip.compress(data) if zipped else data)
+    rows = read_pcap(spark, str(tmp_path / "a.pcapng")).orderBy("seq").collect()
+    assert [r.ts_us for r in rows] == [100_000_005, 12_000_000, 0, 10_000_005, 3_500_000]
+    assert [(r.src_ip, r.src_port, r.dst_port) for r in rows] == [
+        (A, 1234, 80), (A, 7, 8), (B, 53, 999), (A, 7, 8), (A, 7, 8)]
+    assert rows[1].pkt_len == len(inner) and bytes(rows[1].payload) == udp(7, 8, b"abc")
+
+
+def test_large_pcapng_is_read_in_ranges(spark, tmp_path):
+    frames = [ethernet(ipv4(17, A, B, udp(i, 53, bytes([i % 256]) * (i % 90)))) for i in range(150)]
+    hidden = section() + interface(1) + b"".join(enhanced(0, 5, f) for f in frames[:8])
+    data = section() + interface(1)
+    for i, frame in enumerate(frames):
+        if i == 60:
+            data += interface(101, resolution=3)
+        if i == 110:
+            data += section(">") + interface(1, ">")
+        order = ">" if i >= 110 else "<"
+        # Payloads that hold whole captures.
+        frame = ethernet(ipv4(17, A, B, udp(i, 53, hidden))) if i % 29 == 3 else frame
+        data += enhanced(1, i, frame[14:], order) if i in (70, 90) else enhanced(0, i, frame, order)
+    (tmp_path / "big.pcapng").write_bytes(data)
+    (tmp_path / "small.pcap").write_bytes(pcap(FRAMES))
+    want = [tuple(r) for r in read_pcap(spark, str(tmp_path)).orderBy("capture", "seq").collect()]
+    assert len(want) == 156 and [r[5] for r in want[:150]] == list(range(150))
+    assert want[70][2] == 70_000 and want[71][2] == 71
+    for split in (1500, 9000):
+        got = [tuple(r) for r in read_pcap(spark, str(tmp_path), split).orderBy("capture", "seq").collect()]
+        assert got == want
+
+
+def test_gzipped_pcap_and_cut_off_blocks(spark, tmp_path):
+    import gzip
+
+    want = pcap(FRAMES * 30)
+    (tmp_path / "a.pcap").write_bytes(want)
+    (tmp_path / "b.pcap.gz").write_bytes(gzip.compress(want))
+    (tmp_path / "c.pcap.gz").write_bytes(gzip.compress(want[:-5]))
+    for split in (1 << 30, 400):
+        rows = read_pcap(spark, str(tmp_path), split)
+        by = {}
+        for r in rows.orderBy("seq").collect():
+            by.setdefault(r.capture.split("/")[-1], []).append(tuple(r)[1:])
+        assert len(by["a.pcap"]) == 180 and by["a.pcap"] == by["b.pcap.gz"]
+        assert by["c.pcap.gz"][:-1] == by["a.pcap"][:-1] and len(by["c.pcap.gz"]) == 180
+    (tmp_path / "d.pcapng").write_bytes((section() + interface(1) + enhanced(0, 1, FRAMES[0][1]) * 2)[:-20])
+    assert [r.pkt_len for r in read_pcap(spark, str(tmp_path / "d.pcapng")).orderBy("seq").collect()][0] == len(FRAMES[0][1])
+
+
+@pytest.mark.parametrize("link, head", [
+    (0, struct.pack("<I", 2)), (0, struct.pack(">I", 2)), (108, struct.pack(">I", 2)),
+    (113, b"\0" * 14 + struct.pack(">H", 0x0800)), (276, struct.pack(">H", 0x0800) + b"\0" * 18),
+    (1, b"\0" * 12 + struct.pack(">HHHHH", 0x88A8, 1, 0x8100, 2, 0x9100) + struct.pack(">HH", 3, 0x0800)),
+    (1, b"\0" * 12 + struct.pack(">HBBHHH", 0x8864, 0x11, 0, 1, 30, 0x0021)),
+    (1, b"\0" * 12 + struct.pack(">HII", 0x8847, 17 << 12 | 64, 18 << 12 | 0x100 | 64)),
+])
+def test_links_and_tunnels(spark, tmp_path, link, head):
+    (tmp_path / "a.pcap").write_bytes(pcap([((1, 1), head + ipv4(6, A, B, tcp(5, 6, 2)))], link=link))
+    row = read_pcap(spark, str(tmp_path)).first()
+    assert (row.ip_version, row.src_ip, row.dst_port, row.tcp_flags) == (4, A, 6, 2)
+
+
+def test_links_that_are_not_known(spark, tmp_path):
+    (tmp_path / "a.pcap").write_bytes(pcap([((1, 1), b"x" * 60)], link=147))
+    with pytest.raises(Exception, match="unsupported link type"):
+        read_pcap(spark, str(tmp_path)).collect()
