@@ -386,27 +386,39 @@ def test_long_lines(spark):
 
 def test_simhash_is_the_majority_of_bits(spark):
     draw = random.Random(5)
-    rows = [(i, [draw.getrandbits(64) - (1 << 63) for _ in range(1 + i % 31)]) for i in range(120)]
-    got = spark.createDataFrame(rows, "id long, hashes array<long>").select(
-        "id", line_dedup.simhash(F.col("hashes")).alias("h")).collect()
+    rows = [(i, 1 + i % 8, [draw.getrandbits(64) - (1 << 63) for _ in range(8)]) for i in range(120)]
+    got = spark.createDataFrame(rows, "id long, n int, hashes array<long>").select(
+        "id", line_dedup.simhash([F.get("hashes", F.lit(i)) for i in range(8)], F.col("n")).alias("h")).collect()
     by = {r["id"]: r["h"] & (1 << 64) - 1 for r in got}
-    for i, hashes in rows:
-        assert by[i] == sum(1 << j for j in range(64) if 2 * sum(h >> j & 1 for h in hashes) > len(hashes))
+    for i, n, hashes in rows:
+        assert by[i] == sum(1 << j for j in range(64) if 2 * sum(h >> j & 1 for h in hashes[:n]) > n)
 
 
 def test_sketches_share_a_block(spark):
-    """One word in the middle changed or gone leaves a block, at every length."""
+    """One word in the middle changed or gone leaves a fifth of the blocks, at every length; so
+    does one letter without blanks."""
     draw = random.Random(6)
-    rows = []
-    for n in [*range(5, 60), 200, 3000]:
-        words = ["".join(draw.choice("abcdefgh") for _ in range(7)) for _ in range(n)]
-        k = n // 2
-        rows.append((n, " ".join(words), " ".join([*words[:k], "other", *words[k + 1:]]), " ".join(words[:k] + words[k + 1:])))
-    df = spark.createDataFrame(rows, "n int, a string, b string, c string")
-    one, two, three = (line_dedup.sketch(F.col(c)) for c in "abc")
-    got = df.select("n", F.size(F.array_intersect(one, two)).alias("x"), F.size(F.array_intersect(one, three)).alias("y"),
-                    F.size(one).alias("blocks")).collect()
-    assert all(r["x"] > 0 and r["y"] > 0 for r in got if r["n"] != 0), [tuple(r) for r in got]
+    rows, n = [], 0
+    for size in [*range(5, 60), 200, 3000]:
+        words = ["".join(draw.choice("abcdefgh") for _ in range(7)) for _ in range(size)]
+        k = size // 2
+        one = " ".join(words)
+        for other in (" ".join([*words[:k], "other", *words[k + 1:]]), " ".join(words[:k] + words[k + 1:])):
+            rows += [(n, one), (n + 1, other)]
+            n += 2
+    for alphabet in ("abcdefghijkl", [chr(0x4E00 + i) for i in range(3000)], "абвгдежзиклмн"):
+        one = "".join(draw.choice(alphabet) for _ in range(300))
+        rows += [(n, one), (n + 1, one[:140] + "x" + one[141:])]
+        n += 2
+    for one in ("x", "a b", "y " * 100, "word", "\u4e00"):
+        rows += [(n, one), (n + 1, one)]
+        n += 2
+    found = {}
+    for r in line_dedup.blocks(spark.createDataFrame(rows, "id long, line string")).collect():
+        found.setdefault(r["id"], set()).add(r["key"])
+    assert len(found) == n  # every line has a block
+    for i in range(0, n, 2):
+        assert 5 * len(found[i] & found[i + 1]) >= min(len(found[i]), len(found[i + 1])), rows[i]
 
 
 def grouped_lines(texts, min_words=1, percent=90):
