@@ -79,6 +79,12 @@ def canonical(packets: DataFrame) -> DataFrame:
     )
 
 
+def with_entropy(packets: DataFrame) -> DataFrame:
+    """Packets with the `entropy` of their payload in its place; they can be kept and used
+    again without the bytes."""
+    return packets.withColumn("entropy", payload_entropy("payload")).drop("payload")
+
+
 def _keyed(packets, scope, entropy, chunk):
     """Canonical packets with -1 ports, entropy instead of the payload, and stretch.
 
@@ -94,7 +100,7 @@ def _keyed(packets, scope, entropy, chunk):
         "dst_port": NO_PORT,
         "protocol": NO_PORT,
     }
-    rest = [c for c in keyed.columns if c not in ("payload", *scope, *defaults)]
+    rest = [c for c in keyed.columns if c not in ("payload", "entropy", *scope, *defaults)]
     columns = [
         *[F.col(c) for c in rest],
         *[never_null(keyed.schema[c].dataType, c) for c in scope],
@@ -102,7 +108,8 @@ def _keyed(packets, scope, entropy, chunk):
         F.expr(f"coalesce(seq DIV {chunk}, 0L)").alias("stretch"),
     ]
     if entropy:
-        columns.append(payload_entropy("payload").alias("entropy"))
+        known = "entropy" in keyed.columns
+        columns.append(F.col("entropy") if known else payload_entropy("payload").alias("entropy"))
     return keyed.select(*columns)
 
 

@@ -101,12 +101,65 @@ def test_event_time_windows_do_not_depend_on_intervals(spark, packets, landing,
 
 
 def test_windows_over_interval_borders(spark, packets, tmp_path):
-    """One window whose packets arrive in three batches equals the batch result."""
+    """One window whose packets arrive in three batches, in any order, equals the batch result."""
     rows = [packet(i, i * 700_000, A, B, size=60 + i * i, payload=bytes([i])) for i in range(12)]
-    intake = WindowedIntake(spark, str(tmp_path / "w"), str(tmp_path / "wc"), seconds=60)
-    for number, part in enumerate((rows[:5], rows[5:6], rows[6:])):
-        intake.process(packets(part), number)
-    got = intake.windows(closed_only=False).first()
     want = fl.windowed_flows(packets(rows), 60).first()
-    for name in ("packet_count", "flow_duration", "mean_dt", "std_dt", "std_pkt_size", "entropy_std"):
-        assert got[name] == pytest.approx(want[name], abs=1e-9)
+    for turn, parts in enumerate(((rows[:5], rows[5:6], rows[6:]), (rows[7:], rows[:3], rows[3:7]))):
+        intake = WindowedIntake(spark, str(tmp_path / f"w{turn}"), str(tmp_path / f"wc{turn}"), seconds=60)
+        for number, part in enumerate(parts):
+            intake.process(packets(part), number)
+        got = intake.windows(closed_only=False).first()
+        for name in ("packet_count", "flow_duration", "mean_dt", "std_dt", "std_pkt_size", "entropy_std"):
+            assert got[name] == pytest.approx(want[name], abs=1e-9)
+
+
+def test_closed_windows_are_written_once_and_leave_the_state(spark, packets, tmp_path):
+    """Shuffled within the delay: the same windows as the batch job; late packets are counted."""
+    import random
+
+    rows = [packet(i, i * 500_000, A, f"9.9.9.{i % 4}", size=60 + i, payload=bytes([i, 7])) for i in range(120)]
+    mixed = sorted(rows, key=lambda r: r[2] + random.Random(r[1]).randint(0, 6_000_000))
+    intake = WindowedIntake(spark, str(tmp_path / "w"), str(tmp_path / "wc"), seconds=5, delay_seconds=8)
+    for number in range(8):
+        intake.process(packets(mixed[15 * number:15 * number + 15]), number)
+    intake.process(packets(mixed[105:]), 7)  # repeated
+    late = packet(500, 0, A, "9.9.9.9")
+    intake.process(packets([late]), 8)
+
+    def flows(df):
+        return sorted((r.window_us, r.dst_ip, r.packet_count, round(r.mean_dt, 9), round(r.entropy_mean, 9)) for r in df.collect())
+
+    want = flows(fl.windowed_flows(packets(rows), 5))
+    assert flows(intake.windows(closed_only=False)) == want
+    closed = flows(intake.windows())
+    assert len(closed) == len(set(closed)) and 0 < len(closed) < len(want) and set(closed) <= set(want)
+    counts = intake.counts().orderBy("batch_id").collect()
+    assert [r.late for r in counts] == [0] * 8 + [1] and sum(r.packets for r in counts) == 121
+    # 13 seconds and the shuffling are open at most: the state does not grow with the stream.
+    assert max(r.open_packets for r in counts) <= 2 * (5 + 5 + 8 + 6)
+    assert len([p for p in (tmp_path / "w" / "open").iterdir() if p.name.startswith("batch")]) <= 3
+
+
+def test_intervals_of_bounded_size(spark, packets, tmp_path):
+    """What arrives at once is cut by packets; a restart in the middle of it doubles nothing."""
+    rows = batch(0, 25)
+    weights = emb.seeded_weights()
+    intake = Intake(spark, str(tmp_path / "s"), weights, str(tmp_path / "c"), max_packets=10)
+    intake.process(packets(rows), 0)
+    intake.process(packets(rows), 0)
+    progress = intake.progress().orderBy("interval").collect()
+    assert [(r.packets, r.flows) for r in progress] == [(10, 3), (10, 3), (5, 3)]
+    assert [r.protocols for r in progress] == [{"TCP": 10}, {"TCP": 10}, {"TCP": 5}]
+    assert intake.protocol_counts().first().packets == 25
+    got = intake.store.entries().orderBy("_id").collect()
+    want = [r for part in (rows[:10], rows[10:20], rows[20:])
+            for r in fl.flow_table(packets(part)).orderBy("first_seq").collect()]
+    assert [(r.flow_id.dst_ip, r.statistical.packet_count) for r in got] == [(r.dst_ip, r.packet_count) for r in want]
+
+
+def test_intake_joins_small_batches(spark, packets, tmp_path):
+    intake = Intake(spark, str(tmp_path / "s"), emb.seeded_weights(), str(tmp_path / "c"), compact_every=2)
+    for number in range(4):
+        intake.process(packets(batch(100 * number)), number)
+    assert len(intake.store.parts()) <= 3 and intake.store.total_flows() == 12
+    assert sorted(r["_id"] for r in intake.store.entries().collect()) == list(range(12))
