@@ -20,9 +20,10 @@ from flowspark.schema import FLOW_ID_FIELDS, STATISTICAL_FIELDS
 from flowspark.session import cut, scratch_dir
 from flowspark.sources.capture_writer import write_captures
 from flowspark.sources.flow_files import read_flow_lines, write_flow_lines
-from flowspark.sources.packets import first_packets, packets_from_events
+from flowspark.sources.packets import first_packets, packet_stream, packets_from_events
 from flowspark.sources.pcap import read_pcap
 from flowspark.sources.store import FlowStore
+from flowspark.streaming.intake import Intake, WindowedIntake
 
 KEY = FLOW_ID_FIELDS
 DAY = 86_400
@@ -296,6 +297,47 @@ def windowed_flows(spark, sf):
     return rounded(rows.select("window_us", *KEY, "first_seq", *kept, "flags_summary"), *kept)
 
 
+# ---- streams ---------------------------------------------------------------------
+
+
+def _landed(spark, sf, files):
+    """The packets as files of a landing folder, read as a stream, one file at a time."""
+    path = scratch_dir(spark)
+    packets(spark, sf).repartitionByRange(files, "seq").write.parquet(path)
+    return packet_stream(spark, path, max_files=1)
+
+
+@query("stream_windows", sql.windowed_flows(DAY))
+def stream_windows(spark, sf):
+    """Windows that the stream has closed, and those it has open at its end."""
+    intake = WindowedIntake(spark, scratch_dir(spark), scratch_dir(spark), DAY, delay_seconds=30 * DAY)
+    intake.start(_landed(spark, sf, 3), available_now=True).awaitTermination()
+    kept = [f for f in STATISTICAL_FIELDS if not f.startswith("entropy")]
+    rows = intake.windows(closed_only=False)
+    return rounded(rows.select("window_us", *KEY, "first_seq", *kept, "flags_summary"), *kept)
+
+
+@query("stream_intake", sql.STREAM_INTAKE)
+def stream_intake(spark, sf):
+    """Packets as they arrive to embedded flows in a store."""
+    base = scratch_dir(spark)
+    intake = Intake(spark, base, emb.seeded_weights(), scratch_dir(spark))
+    intake.start(_landed(spark, sf, 1), available_now=True).awaitTermination()
+    rows = FlowStore.load(spark, base).entries()
+    return rows.select(
+        F.col("_id").alias("id"), "flow_id.*", "statistical.packet_count", "statistical.total_bytes",
+        F.size("embedding").alias("dimension"), "timestamp",
+    )
+
+
+@query("stream_protocol_counts", sql.STREAM_PROTOCOL_COUNTS)
+def stream_protocol_counts(spark, sf):
+    """Packets by protocol as the intervals have counted them."""
+    intake = Intake(spark, scratch_dir(spark), emb.seeded_weights(), scratch_dir(spark), max_packets=10_000)
+    intake.start(_landed(spark, sf, 1), available_now=True).awaitTermination()
+    return intake.protocol_counts()
+
+
 # ---- flow files and the store ----------------------------------------------------
 
 

@@ -331,6 +331,15 @@ STORED_IDS = over("entries", f"SELECT id, {KEY}, first_seq FROM entries")
 _hit = f"SELECT id, {KEY}, proto, app_proto, flags_summary FROM entries "
 
 
+STREAM_INTAKE = over(
+    "entries", f"SELECT id, {KEY}, packet_count, total_bytes, 64 AS dimension, timestamp FROM entries")
+STREAM_PROTOCOL_COUNTS = over(
+    "packets",
+    "SELECT coalesce(name, 'OTHER') AS protocol, count(*) AS packets FROM (SELECT CASE proto WHEN 6 THEN 'TCP' "
+    "WHEN 17 THEN 'UDP' WHEN 1 THEN 'ICMP' END AS name FROM packets) GROUP BY name",
+)
+
+
 def flows_by_ip(ip, k):
     return over(
         "entries", _hit + f"WHERE src_ip = '{ip}' OR dst_ip = '{ip}' ORDER BY id LIMIT {k}"
