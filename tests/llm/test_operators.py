@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -386,7 +387,7 @@ def test_long_lines(spark):
 
 def test_simhash_is_the_majority_of_bits(spark):
     draw = random.Random(5)
-    rows = [(i, 1 + i % 8, [draw.getrandbits(64) - (1 << 63) for _ in range(8)]) for i in range(120)]
+    rows = [(i, 1 + i % 8, [draw.getrandbits(64) - (1 << 63) if k <= i % 8 else 0 for k in range(8)]) for i in range(120)]
     got = spark.createDataFrame(rows, "id long, n int, hashes array<long>").select(
         "id", line_dedup.simhash([F.get("hashes", F.lit(i)) for i in range(8)], F.col("n")).alias("h")).collect()
     by = {r["id"]: r["h"] & (1 << 64) - 1 for r in got}
@@ -425,14 +426,17 @@ def grouped_lines(texts, min_words=1, percent=90):
     """Plain version: places that go, by all pairs of lines and connected groups."""
     lines = sorted((i, k, x.strip(" ").lower()) for i, t in texts for k, x in enumerate(t.split("\n")) if x.strip())
     names = sorted({x for *_, x in lines})
-    root = {x: x for x in names}
+    root, bags = {x: x for x in names}, {x: Counter(x) for x in names}
 
     def find(x):
         return x if root[x] == x else find(root[x])
 
     for a in names:
         for b in names:
-            if a < b and edit_distance(a, b) * 100 <= max(len(a), len(b)) * (100 - percent):
+            most = max(len(a), len(b)) * (100 - percent) // 100
+            # Letters that only one of them has must be edited.
+            if a < b and max(sum((bags[a] - bags[b]).values()), sum((bags[b] - bags[a]).values())) <= most and (
+                    edit_distance(a, b) <= most):
                 root[find(a)] = find(b)
     seen, gone = set(), {i: [] for i, _ in texts}
     for i, k, x in lines:
