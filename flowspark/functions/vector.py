@@ -41,8 +41,19 @@ def matrix(column, dtype=np.float64) -> np.ndarray:
 
 def squared_distances(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """All distances by one matrix product; good to about 1e-15 of the squared norms."""
-    d = (queries**2).sum(1)[:, None] + (rows**2).sum(1)[None, :] - 2.0 * queries @ rows.T
-    return np.maximum(d, 0.0)
+    d = (queries**2).sum(1)[:, None] + (rows**2).sum(1)[None, :]
+    d -= 2.0 * queries @ rows.T
+    return np.maximum(d, 0.0, out=d)
+
+
+# Distances held at once by a kernel: with what is worked out beside them, some 30 MB.
+TILE = 1 << 20
+
+
+def tiles(n, width):
+    """Slices of `n` queries such that each has at most `TILE` distances to `width` rows."""
+    step = max(1, TILE // max(1, width))
+    return [slice(start, start + step) for start in range(0, n, step)]
 
 
 DIFFERENCES = 1 << 21

@@ -9,7 +9,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from flowspark.functions.vector import euclidean, l2_squared, matrix, squared_distances
+from flowspark.functions.vector import euclidean, l2_squared, matrix, squared_distances, tiles
 from flowspark.operators.blocks import BLOCK_ROWS, block_matrix
 from flowspark.operators.ids import broadcast_if_small, dense_ids, given_back, mixed, never_null
 from flowspark.session import cut
@@ -250,28 +250,28 @@ def silhouette_exact(
     def sums(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"id": [], "cluster": [], "other": [], "total": [], "n": []})
-        names, place = np.unique(right["cluster"].to_numpy(), return_inverse=True)
-        member = np.zeros((len(right), len(names)))
-        member[np.arange(len(right)), place] = 1.0
-        b = matrix(right["v"])
-        out = []
-        for start in range(0, len(left), 1024):
-            part = left.iloc[start : start + 1024]
-            squared = squared_distances(matrix(part["v"]), b)
-            same = part["id"].to_numpy()[:, None] == right["id"].to_numpy()[None, :]
-            total = np.sqrt(np.where(same, 0.0, squared)) @ member
-            out.append(
-                pd.DataFrame(
-                    {
-                        "id": np.repeat(part["id"].to_numpy(), len(names)),
-                        "cluster": np.repeat(part["cluster"].to_numpy(), len(names)),
-                        "other": np.tile(names, len(part)),
-                        "total": total.ravel(),
-                        "n": np.tile(member.sum(0).astype(np.int64), len(part)),
-                    }
-                )
-            )
-        return pd.concat(out, ignore_index=True)
+        names, place, n = np.unique(right["cluster"].to_numpy(), return_inverse=True, return_counts=True)
+        # Rows of a cluster stand together, so that sums over them need no table of members.
+        right = right.iloc[np.argsort(place, kind="stable")]
+        firsts = np.cumsum(n) - n
+        ids, b = right["id"].to_numpy(), matrix(right["v"])
+        total = np.empty((len(left), len(names)))
+        for tile in tiles(len(left), len(right)):
+            part = left.iloc[tile]
+            d = squared_distances(matrix(part["v"]), b)
+            d[part["id"].to_numpy()[:, None] == ids[None, :]] = 0.0
+            total[tile] = np.add.reduceat(np.sqrt(d, out=d), firsts, axis=1)
+        # A row without a distance to one of the block has none to its clusters.
+        total[~np.isfinite(total).all(1)] = np.nan
+        return pd.DataFrame(
+            {
+                "id": np.repeat(left["id"].to_numpy(), len(names)),
+                "cluster": np.repeat(left["cluster"].to_numpy(), len(names)),
+                "other": np.tile(names, len(left)),
+                "total": total.ravel(),
+                "n": np.tile(n, len(left)),
+            }
+        )
 
     kind = rows.schema["cluster"].dataType.simpleString()
     parts = block_matrix(

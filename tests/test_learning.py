@@ -111,6 +111,39 @@ def test_cluster_scores(spark, sample, block_rows):
     assert ln.calinski_harabasz(rows, "label").first().calinski_harabasz == pytest.approx(ch)
 
 
+def test_silhouette_kernel_holds_few_distances(spark, monkeypatch):
+    """A block's kernel takes little memory beside the block, also with a label for each row."""
+    import tracemalloc
+
+    import pandas as pd
+
+    kept = {}
+
+    def block_matrix(left, right, kernel, *rest):
+        kept["kernel"] = kernel
+        return left.sparkSession.createDataFrame([], "id long, cluster string, other string, total double, n long")
+
+    monkeypatch.setattr(ln, "block_matrix", block_matrix)
+    ln.silhouette_exact(table(spark, [[0.0], [1.0]], ["a", "b"]), "label")
+    rng = np.random.default_rng(1)
+    n = 8192
+    block = pd.DataFrame({"id": range(n), "cluster": [str(i % 10) for i in range(n)],
+                          "v": list(rng.normal(size=(n, 4)).astype(np.float32))})
+    tracemalloc.start()
+    got = kept["kernel"](block, block)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64e6  # the distances of 1,024 rows alone would be 67 MB
+    v = np.stack(block["v"]).astype(float)
+    for row in (0, 4711):
+        d = np.linalg.norm(v - v[row], axis=1)
+        own = got[got["id"] == row].set_index("other")
+        for name in "07":
+            members = (block["cluster"] == name).to_numpy()
+            assert own.loc[name, "total"] == pytest.approx(d[members].sum())
+            assert own.loc[name, "n"] == members.sum()
+
+
 def test_kmeans_finds_clear_clusters(spark, sample):
     rows = ln.kmeans(table(spark, *sample).where("label <> 'lone'"), k=3, starts=2)
     per_label = rows.groupBy("label").agg(F.countDistinct("cluster").alias("n")).collect()
