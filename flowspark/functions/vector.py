@@ -56,7 +56,7 @@ def tiles(n, width):
     return [slice(start, start + step) for start in range(0, n, step)]
 
 
-DIFFERENCES = 1 << 21
+DIFFERENCES = 1 << 19
 
 
 def nearest(queries, rows, row_ids, k, forbidden=None):
@@ -70,14 +70,13 @@ def nearest(queries, rows, row_ids, k, forbidden=None):
     out_q, out_i, out_d = [], [], []
     if not len(queries) or not len(rows):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    step = max(1, (1 << 22) // len(rows))
     scale = (rows**2).sum(1).max()
-    for start in range(0, len(queries), step):
-        block = queries[start : start + step]
+    for tile in tiles(len(queries), len(rows)):
+        block = queries[tile]
         approx = squared_distances(block, rows)
         margin = 1e-9 * (scale + (block**2).sum(1)) + 1e-12
         if forbidden is not None:
-            approx[forbidden(slice(start, start + step))] = np.inf
+            approx[forbidden(tile)] = np.inf
         kth = np.partition(approx, min(k, len(rows)) - 1, axis=1)[:, min(k, len(rows)) - 1]
         q, r = np.nonzero((approx <= (kth + margin)[:, None]) & np.isfinite(approx))
         best = np.zeros(0, np.int64), np.zeros(0, row_ids.dtype), np.zeros(0)
@@ -88,7 +87,7 @@ def nearest(queries, rows, row_ids, k, forbidden=None):
             exact = ((block[own] - rows[other]) ** 2).sum(1)
             found = own, row_ids[other], exact
             best = keep_nearest(*[np.concatenate(x) for x in zip(best, found)], k)
-        out_q.append(best[0] + start)
+        out_q.append(best[0] + tile.start)
         out_i.append(best[1])
         out_d.append(best[2])
     return np.concatenate(out_q), np.concatenate(out_i), np.concatenate(out_d)

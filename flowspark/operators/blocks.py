@@ -7,9 +7,10 @@ sum), never the pairs.
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from flowspark.functions.vector import matrix, nearest, squared_distances
+from flowspark.functions.vector import matrix, nearest, squared_distances, tiles
 from flowspark.session import cut
 
 BLOCK_ROWS = 1 << 14
@@ -17,6 +18,16 @@ BLOCK_ROWS = 1 << 14
 HITS = "query_id long, id long, distance double"
 
 
+def small_table(spark, rows, schema):
+    """A table of a few tuples. By way of Arrow no task makes it: `createDataFrame` of a list
+    would start further Python workers on each executor, which stay."""
+    kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
+    fields = [pa.field(name, kinds[kind]) for name, kind in (f.split() for f in schema.split(","))]
+    values = list(zip(*rows)) or [()] * len(fields)
+    columns = [pa.array(v, f.type) for v, f in zip(values, fields)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, schema=pa.schema(fields)))
+
+
 def _blocks_of(count, block_rows):
     return max(1, -(-count // block_rows))
 
@@ -99,7 +110,7 @@ def knn_join(
     )
     chosen = entries.orderBy(F.xxhash64("_id"), "_id").limit(pivots).collect()
     if not chosen:
-        return best_hits(spark.createDataFrame([], HITS), k)
+        return best_hits(small_table(spark, [], HITS), k)
     number = len(chosen)
     centres = spark.sparkContext.broadcast(
         np.array([row["embedding"] for row in chosen], np.float64)
@@ -136,9 +147,7 @@ def knn_join(
         width = (span["hi"] - span["lo"]) / count if span else 0.0
         ring_rows.append((cell, count, span["lo"] if span else 0.0, width))
     # One row per pivot here too.
-    shape = F.broadcast(
-        spark.createDataFrame(ring_rows, "cell int, _rings int, _lo double, _width double")
-    )
+    shape = F.broadcast(small_table(spark, ring_rows, "cell int, _rings int, _lo double, _width double"))
     ring = F.when(F.col("_width") > 0, F.floor((F.col("away") - F.col("_lo")) / F.col("_width")))
     ring = F.least(F.greatest(F.coalesce(ring, F.lit(0)), F.lit(0)), F.col("_rings") - 1)
 
@@ -166,7 +175,7 @@ def knn_join(
             share = -(-n // blocks) if one_block else n
             plan.append((p, blocks, _blocks_of(share, block_rows)))
         plan = F.broadcast(  # no more than `pivots` × `rings` rows
-            spark.createDataFrame(plan or [(-1, 1, 1)], "part int, _ne int, _nq int")
+            small_table(spark, plan or [(-1, 1, 1)], "part int, _ne int, _nq int")
         )
         own_q = F.pmod(F.xxhash64("query_id"), F.col("_nq")).cast("int")
         own_e = F.pmod(F.xxhash64("_id"), F.col("_ne")).cast("int")
@@ -226,8 +235,9 @@ def knn_join(
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def parts_in_reach(v: pd.Series, found: pd.Series) -> pd.Series:
         out, known = [], found.to_numpy(np.float64, na_value=np.nan)
-        for start in range(0, len(v), 512):
-            out += parts_within(matrix(v.iloc[start : start + 512]), known[start : start + 512])
+        # A dozen numbers or so are worked out for each query and part.
+        for tile in tiles(len(v), 4 * len(bounds.value[0])):
+            out += parts_within(matrix(v.iloc[tile]), known[tile])
         return pd.Series(out, dtype=object)
 
     routed = queries.join(reach, "query_id", "left").select(

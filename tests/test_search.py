@@ -65,6 +65,37 @@ def test_join_for_many_queries(spark, clustered, block_rows, pivots, self_out):
     same(as_dict(hits), brute(clustered, clustered, 4, self_out))
 
 
+def test_join_kernel_holds_few_distances():
+    """The kernel of a block takes little memory beside it, with all vectors equal too."""
+    import tracemalloc
+
+    from flowspark.functions.vector import nearest
+
+    rng = np.random.default_rng(2)
+    rows = rng.normal(size=(16384, 4))
+    for entries in (rows, np.ones((2048, 64))):
+        queries = entries[:1024] if entries is rows else entries
+        tracemalloc.start()
+        at, ids, d = nearest(queries, entries, np.arange(len(entries)), 3)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 80e6
+        apart = ((queries[777] - entries) ** 2).sum(1)
+        want = np.lexsort((np.arange(len(entries)), apart))[:3]
+        assert list(ids[at == 777]) == list(want) and d[at == 777] == pytest.approx(apart[want])
+
+
+def test_join_plans_without_python_rows(spark, clustered):
+    """Its small tables are made without tasks: those would leave further Python workers on
+    the executors, of some 110 MB each."""
+    from flowspark.operators.blocks import small_table
+
+    rows = small_table(spark, [(1, 2, 0.5), (3, 4, 1.5)], "part int, n long, away double")
+    assert rows.dtypes == [("part", "int"), ("n", "bigint"), ("away", "double")]
+    assert [tuple(r) for r in rows.collect()] == [(1, 2, 0.5), (3, 4, 1.5)]
+    assert "ExistingRDD" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
 def test_join_takes_over_beyond_the_broadcast_bound(spark, clustered):
     entries = table(spark, clustered)
     hits = se.knn(entries, se.query_rows(entries), 3, max_broadcast=10)
