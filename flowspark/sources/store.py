@@ -273,7 +273,8 @@ class FlowStore:
         kept = [f.name for f in STORE_ENTRY.fields if f.name in flows.columns]
         columns = list(dict.fromkeys([*kept, *order]))
         flows = flows.withColumn("embedding", F.col("embedding").cast("array<float>"))
-        rows = numbered(flows.select(*columns, wrong.alias("_wrong")), order)
+        # Written first: drawing the ranges of the order would work out every flow once more.
+        rows = numbered(cut(flows.select(*columns, wrong.alias("_wrong"))), order)
         tallied = cut(_tallied(rows, "_place", "_part", F.sum(F.col("_wrong").cast("int")).alias("bad")))
         base = offsets(tallied, "flows")
         placed = tallied.join(F.broadcast(base), "_part").withColumn(
