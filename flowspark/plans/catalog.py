@@ -300,18 +300,31 @@ def windowed_flows(spark, sf):
 # ---- streams ---------------------------------------------------------------------
 
 
-def _landed(spark, sf, files):
-    """The packets as files of a landing folder, read as a stream, one file at a time."""
-    path = scratch_dir(spark)
-    packets(spark, sf).repartitionByRange(files, "seq").write.parquet(path)
-    return packet_stream(spark, path, max_files=1)
+def _landed(rows, path):
+    """The packets as files of a landing folder, as many as their size asks for; the stream
+    takes those that are new together."""
+    rows.repartitionByRange("seq").write.mode("append").parquet(path)
+    return packet_stream(rows.sparkSession, path)
+
+
+def _arrivals(rows, parts):
+    """The packets in so many parts of the order of arrival."""
+    # Borders of the parts: one row.
+    shares = [i / parts for i in range(1, parts)]
+    borders = rows.agg(F.percentile_approx("seq", shares, 100_000).alias("b")).first()["b"] or []
+    part = F.lit(0)
+    for border in borders:
+        part = part + F.coalesce(F.col("seq") > border, F.lit(False)).cast("int")
+    return [rows.where(part == i) for i in range(parts)]
 
 
 @query("stream_windows", sql.windowed_flows(DAY))
 def stream_windows(spark, sf):
     """Windows that the stream has closed, and those it has open at its end."""
     intake = WindowedIntake(spark, scratch_dir(spark), scratch_dir(spark), DAY, delay_seconds=30 * DAY)
-    intake.start(_landed(spark, sf, 3), available_now=True).awaitTermination()
+    path = scratch_dir(spark)
+    for rows in _arrivals(packets(spark, sf), 3):
+        intake.start(_landed(rows, path), available_now=True).awaitTermination()
     kept = [f for f in STATISTICAL_FIELDS if not f.startswith("entropy")]
     rows = intake.windows(closed_only=False)
     return rounded(rows.select("window_us", *KEY, "first_seq", *kept, "flags_summary"), *kept)
@@ -322,7 +335,7 @@ def stream_intake(spark, sf):
     """Packets as they arrive to embedded flows in a store."""
     base = scratch_dir(spark)
     intake = Intake(spark, base, emb.seeded_weights(), scratch_dir(spark))
-    intake.start(_landed(spark, sf, 1), available_now=True).awaitTermination()
+    intake.start(_landed(packets(spark, sf), scratch_dir(spark)), available_now=True).awaitTermination()
     rows = FlowStore.load(spark, base).entries()
     return rows.select(
         F.col("_id").alias("id"), "flow_id.*", "statistical.packet_count", "statistical.total_bytes",
@@ -334,7 +347,7 @@ def stream_intake(spark, sf):
 def stream_protocol_counts(spark, sf):
     """Packets by protocol as the intervals have counted them."""
     intake = Intake(spark, scratch_dir(spark), emb.seeded_weights(), scratch_dir(spark), max_packets=10_000)
-    intake.start(_landed(spark, sf, 1), available_now=True).awaitTermination()
+    intake.start(_landed(packets(spark, sf), scratch_dir(spark)), available_now=True).awaitTermination()
     return intake.protocol_counts()
 
 

@@ -1,3 +1,4 @@
+import pandas as pd
 import pytest
 from conftest import packet
 from pyspark.sql import functions as F
@@ -163,3 +164,68 @@ def test_intake_joins_small_batches(spark, packets, tmp_path):
         intake.process(packets(batch(100 * number)), number)
     assert len(intake.store.parts()) <= 3 and intake.store.total_flows() == 12
     assert sorted(r["_id"] for r in intake.store.entries().collect()) == list(range(12))
+
+
+def events(spark, path, n):
+    """An events table of n rows in a folder of tables."""
+    spark.range(n).selectExpr(
+        "id AS event_id", "CAST(timestamp_seconds(1700000000 + id * 600) AS TIMESTAMP_NTZ) AS ts",
+        "id * 7 % 50 AS user_id", "element_at(array('view', 'click', 'signup', 'error'), CAST(id % 4 AS INT) + 1) AS event_type",
+        "id % 300 + 0.5D AS value", "concat('{\"k\": ', id, '}') AS props",
+    ).coalesce(1).write.parquet(f"{path}/events.parquet")
+    return str(path)
+
+
+def test_landing_is_shared_by_tasks_and_taken_as_one_batch(spark, tmp_path, monkeypatch):
+    """No task writes or reads the whole landing folder, and the flows stay those of one batch."""
+    from flowspark.plans import catalog
+
+    sf = events(spark, tmp_path / "sf", 20_000)
+    want = catalog.packets(spark, sf).groupBy("capture").count().first()["count"]
+    folders = []
+    stream = catalog.packet_stream
+    monkeypatch.setattr(catalog, "packet_stream", lambda s, path, *a, **b: (folders.append(path), stream(s, path, *a, **b))[1])
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "32k")
+    try:
+        got = catalog.stream_intake(spark, sf)
+        flows = got.count()
+        windows = catalog.stream_windows(spark, sf)
+        n_windows = windows.count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.minPartitionSize")
+    assert flows == catalog.fl.flow_table(catalog.packets(spark, sf)).count()
+    assert n_windows == catalog.windowed_flows(spark, sf).count()
+    assert len(set(folders)) == 2 and len(folders) == 4  # one batch; three batches in one folder
+    for folder in set(folders):
+        rows = spark.read.parquet(folder)
+        sizes = [r["count"] for r in rows.groupBy(F.input_file_name()).count().collect()]
+        assert sum(sizes) == want and max(sizes) < want * 0.7
+
+
+def test_arrivals_keep_every_packet(spark):
+    from flowspark.plans import catalog
+
+    for seqs in ([], [None, 5, 5, 5], [None, *range(100)]):
+        rows = spark.createDataFrame([(s,) for s in seqs], "seq long")
+        parts = [sorted(((r.seq is not None), r.seq or 0) for r in p.collect()) for p in catalog._arrivals(rows, 3)]
+        assert sum(parts, []) == sorted((s is not None, s or 0) for s in seqs)
+    assert all(30 <= len(p) <= 37 for p in parts)
+
+
+def test_flows_of_a_batch_are_worked_out_once(spark, tmp_path):
+    """What an append numbers is a written table: its ranges are drawn from the rows of the
+    order, without embedding every flow a second time."""
+    from flowspark.sources.store import FlowStore
+
+    worked = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("array<float>")
+    def embed(ids: pd.Series) -> pd.Series:
+        worked.add(len(ids))
+        return pd.Series([[float(i)] for i in ids])
+
+    rows = spark.range(500).repartition(4).select(F.col("id").alias("first_seq"), embed("id").alias("embedding"))
+    FlowStore(spark, str(tmp_path / "store"), dimension=1).append(rows, order=("first_seq",))
+    assert worked.value == 500
