@@ -79,15 +79,16 @@ class Intake:
         interval without flows adds none; a micro-batch without packets leaves no trace."""
         # Read once: the payload goes, its entropy stays.
         packets = cut(with_entropy(batch))
+        if packets.isEmpty():
+            return
         scope, order = ["capture"], ["capture", "first_seq"]
         if self.max_packets:
+            # The numbered packets are a written table already; an interval is its place there.
             numbers = dense_ids(packets, ["capture", "seq"], "_n")
-            packets = cut(numbers.withColumn("interval", F.expr(f"_n DIV {self.max_packets}")).drop("_n"))
+            packets = numbers.withColumn("interval", F.expr(f"_n DIV {self.max_packets}")).drop("_n")
             scope, order = ["interval", *scope], ["interval", *order]
         else:
             packets = packets.withColumn("interval", F.lit(0).cast("long"))
-        if packets.isEmpty():
-            return
         number = self.offset + batch_id
         flows = stored_flows(packets, tuple(scope))
         rows = embed_flows(flows, self.weights, self.scaler, self.variant)
