@@ -13,6 +13,9 @@ SAMPLE_PER_CLASS = 900
 WINDOW, STRIDE = 24, 12
 WORD_ROWS, GRAM_ROWS, WIDTH, HIDDEN = 1 << 14, 1 << 13, 8, 8
 EPOCHS, RATE = 4, 0.02
+# A worker keeps the table rows of so many words at most, and works out the triples of so many
+# words at once.
+KNOWN_WORDS, WORDS_AT_ONCE = 1 << 16, 1 << 13
 
 
 class _Buckets(dict):
@@ -34,15 +37,19 @@ def features(distinct):
     import numpy as np
 
     known = _rows()
-    if len(known) > 1_000_000:
-        known.clear()
-    rows = np.fromiter(map(known.__getitem__, distinct), np.int64, len(distinct))
-    data = np.frombuffer(b" " + b"  ".join(distinct) + b" ", np.uint8).astype(np.int64)
-    sizes = np.array([len(w) for w in distinct], np.int64)  # as many triples as bytes
-    begins = np.cumsum(sizes) - sizes
-    starts = np.repeat(np.arange(len(distinct)) * 2, sizes) + np.arange(int(sizes.sum()))
-    grams = (data[starts] * 961 + data[starts + 1] * 31 + data[starts + 2]) * 40503 >> 4
-    return rows, grams % GRAM_ROWS, begins, sizes
+    rows, grams, sizes = [], [], np.array([len(w) for w in distinct], np.int64)  # as many triples as bytes
+    for at in range(0, len(distinct), WORDS_AT_ONCE):
+        part, own = distinct[at:at + WORDS_AT_ONCE], sizes[at:at + WORDS_AT_ONCE]
+        if len(known) + len(part) > KNOWN_WORDS:
+            known.clear()
+        rows.append(np.fromiter(map(known.__getitem__, part), np.int64, len(part)))
+        data = np.frombuffer(b" " + b"  ".join(part) + b" ", np.uint8).astype(np.int64)
+        starts = np.repeat(np.arange(len(part)) * 2, own) + np.arange(int(own.sum()))
+        triples = (data[starts] * 961 + data[starts + 1] * 31 + data[starts + 2]) * 40503 >> 4
+        grams.append((triples % GRAM_ROWS).astype(np.int32))
+    empty = np.empty(0, np.int64)
+    return (np.concatenate([empty, *rows]), np.concatenate([empty.astype(np.int32), *grams]),
+            np.cumsum(sizes) - sizes, sizes)
 
 
 def initial(seed=7):
@@ -71,8 +78,14 @@ def inputs(model, found):
     rows, grams, begins, sizes = found
     if not len(rows):
         return np.zeros((0, 2 * WIDTH), np.float32)
-    means = np.add.reduceat(model["gram"][grams], begins, axis=0) / sizes[:, None].astype(np.float32)
-    return np.concatenate([model["word"][rows], means], axis=1)
+    vectors = np.empty((len(rows), 2 * WIDTH), np.float32)
+    for at in range(0, len(rows), WORDS_AT_ONCE):
+        part = slice(at, at + WORDS_AT_ONCE)
+        first, last = begins[part][0], begins[part][-1] + sizes[part][-1]
+        sums = np.add.reduceat(model["gram"][grams[first:last]], begins[part] - first, axis=0)
+        vectors[part, :WIDTH] = model["word"][rows[part]]
+        vectors[part, WIDTH:] = sums / sizes[part, None].astype(np.float32)
+    return vectors
 
 
 def windows(n):
@@ -197,7 +210,7 @@ def _coded(texts):
     return list(numbers), np.concatenate([*codes, np.empty(0, np.int64)]), lengths
 
 
-def scores(model, texts, rows_at_once=2048):
+def scores(model, texts, rows_at_once=1024):
     """Score of each whole text: its most toxic window's."""
     import numpy as np
 
@@ -229,7 +242,7 @@ def fit(texts, labels, seed=7):
         if epoch:
             vectors = inputs(model, found)
             z = np.concatenate([
-                logits(model, vectors, ids[:, i:i + 4096], mask[:, i:i + 4096]) for i in range(0, len(owner), 4096)])
+                logits(model, vectors, ids[:, i:i + 1024], mask[:, i:i + 1024]) for i in range(0, len(owner), 1024)])
         else:
             z = draw.random(len(owner)).astype(np.float32)
         order = np.lexsort((-z, owner))

@@ -598,3 +598,70 @@ def test_odd_and_empty_tables(odd, empty, name):
     if name == "contamination":
         assert {r["doc_id"]: (r["n_hit"], r["n_items"]) for r in rows if r["doc_id"]} == {
             1: (0, 0), 2: (5, 1), 3: (0, 0), 4: (5, 1)}
+
+
+def test_line_sketches_lose_no_close_pair(spark):
+    draw = random.Random(3)
+    words = ["the", "of", "stone", "river", "été", "zu", "open", "ratio"]
+    lines = [" ".join(draw.choices(words, k=draw.randint(3, 40))) for _ in range(40)]
+    for line in list(lines):
+        near = list(line)
+        for _ in range(max(1, len(line) // 12)):
+            near[draw.randrange(len(near))] = draw.choice("etaxqé ")
+        lines.append("".join(near))
+    rows = [(i, line, [7], 1) for i, line in enumerate(lines)]
+    rows = spark.createDataFrame(rows, "id long, line string, keys array<long>, blocks int")
+    counts = [line_dedup.letter_count("line", c).alias(f"count_{c}") for c in line_dedup.COUNTED]
+    rows = rows.select("*", F.length("line").alias("n"), *counts)
+    one, two = (rows.select(*[F.col(c).alias(c + n) for c in rows.columns]) for n in "12")
+    both = one.join(two, F.col("id1") < F.col("id2")).select(
+        line_dedup.similar(F.col("line1"), F.col("line2"), 90).alias("similar"), line_dedup.alike(90).alias("alike"))
+    found = {(r["similar"], r["alike"]): r["count"] for r in both.groupBy("similar", "alike").count().collect()}
+    assert found[True, True] > 20 and (True, False) not in found
+    assert found[False, False] > 10 * found.get((False, True), 0)
+
+
+def test_lines_meet_at_rare_blocks(spark):
+    draw, blocks, rest = random.Random(4), {}, []
+    for i in range(300):
+        # Block 0 is in all lines; one line in ten has few others.
+        own = {0} | {draw.randrange(1, 400) for _ in range(draw.randint(0, 3) if i % 10 == 0 else draw.randint(9, 30))}
+        if i % 7 == 0 and i:
+            own = set(list(blocks[i - 1][0])[: len(blocks[i - 1][0]) * 2 // 3]) | {0, 1000 + i}
+        blocks[i] = (own, draw.randint(80, 120))
+        rest += [(k, i, i // 2) for k in own]
+    sketches = spark.createDataFrame(
+        [(i, sorted(own), len(own), n) for i, (own, n) in blocks.items()], "id long, keys array<long>, blocks int, n int")
+    rest = spark.createDataFrame(rest, "key long, id long, component long")
+    met = line_dedup.meeting(line_dedup.ranks(rest), sketches, 90).select("id1", "id2").collect()
+    got, expected = {tuple(sorted(r)) for r in met}, set()
+    for i, (a, n) in blocks.items():
+        for j, (b, m) in blocks.items():
+            enough = 100 * len(a & b) >= line_dedup.AGREE * min(len(a), len(b))
+            if i < j and i // 2 != j // 2 and enough and 100 * abs(n - m) <= 10 * max(n, m):
+                expected.add((i, j))
+    assert expected and expected <= got
+    # The block that all hold brings no two lines of many blocks together.
+    many = {i for i, (own, _) in blocks.items() if len(own) > 5}
+    only = {(i, j) for i, j in got if {i, j} <= many and blocks[i][0] & blocks[j][0] == {0}}
+    assert not only
+
+
+def test_toxicity_vocabulary_is_bounded():
+    """However many words a worker sees, it keeps few, and their vectors are worked out in parts."""
+    import tracemalloc
+
+    words = [b"word%07d" % i for i in range(150_000)]
+    model = toxicity.initial()
+    toxicity.features(words[:10])
+    tracemalloc.start()
+    found = toxicity.features(words)
+    assert len(toxicity._rows()) <= 1 << 16
+    tracemalloc.reset_peak()
+    before = tracemalloc.get_traced_memory()[0]
+    vectors = toxicity.inputs(model, found)
+    peak = tracemalloc.get_traced_memory()[1] - before
+    tracemalloc.stop()
+    assert peak < 2.5 * vectors.nbytes
+    for i in (0, 8191, 8192, 149_999):
+        assert (vectors[i] == toxicity.inputs(model, toxicity.features([words[i]]))[0]).all()
