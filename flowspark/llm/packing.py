@@ -6,7 +6,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from flowspark.llm.common import kept, table, utf8
+from flowspark.llm.common import kept, table, utf8, worker_tables
 from flowspark.llm.word_ids import word_ids
 
 PIECES = (
@@ -32,6 +32,7 @@ def token_table(docs: DataFrame, path=None, end_id=2, id_column="doc_id", text_c
         import pyarrow as pa
 
         encoder = word_ids(path or vocabulary())
+        worker_tables("packing", encoder.chunks, encoder.pieces)
         end, width = np.array([end_id], encoder.dtype).tobytes(), encoder.dtype.itemsize
         part, before = TaskContext.get().partitionId(), 0
         for batch in batches:

@@ -6,7 +6,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowspark.llm.common import kept, table, utf8, words
+from flowspark.llm.common import kept, table, utf8, words, worker_tables
 
 # The sample that the network is fitted to: at most so many labelled rows of each class.
 SAMPLE_PER_CLASS = 900
@@ -305,6 +305,7 @@ def trained(docs: DataFrame, labels: DataFrame, per_class=SAMPLE_PER_CLASS):
 
         import pandas as pd
 
+        worker_tables("toxicity", _rows())
         part = part.sort_values(["doc_id", "text"])
         found = part["toxic"].to_numpy()
         if not 0 < found.sum() < len(found):
@@ -334,6 +335,7 @@ def score_documents(docs: DataFrame, model, id_column="doc_id", text_column="tex
     def score(batches):
         import pyarrow as pa
 
+        worker_tables("toxicity", _rows())
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 rows = batch.slice(at, 500)
@@ -355,6 +357,7 @@ def reject_toxic(docs: DataFrame, model, threshold=0.5, text_column="text") -> D
     def keep(batches):
         import pyarrow as pa
 
+        worker_tables("toxicity", _rows())
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 rows = batch.slice(at, 500)

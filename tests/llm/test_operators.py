@@ -665,3 +665,16 @@ def test_toxicity_vocabulary_is_bounded():
     assert peak < 2.5 * vectors.nbytes
     for i in (0, 8191, 8192, 149_999):
         assert (vectors[i] == toxicity.inputs(model, toxicity.features([words[i]]))[0]).all()
+
+
+def test_worker_keeps_tables_of_one_operator():
+    from flowspark.llm import common
+
+    one, two = {b"a": b"1"}, {b"b": b"2"}
+    common.worker_tables("one", one)
+    common.worker_tables("one", one)
+    assert one
+    common.worker_tables("two", two)
+    assert not one and two
+    two.clear()
+    common.worker_tables("none")
