@@ -11,6 +11,8 @@ from flowspark.llm.common import kept, table
 # vector is indexed.
 SAMPLE = 20_000
 MOST_LISTS, CHUNK, QUERY_BLOCK, BLOCK = 1024, 4096, 256, 16
+# Queries that are routed to their lists at once.
+ROUTED = 64
 SIGMA = 2.1  # how sure the test must be before it drops a candidate
 
 
@@ -167,13 +169,13 @@ def neighbours(vectors: DataFrame, is_query, k=10, share=0.6, id_column="vec_id"
         import numpy as np
         import pandas as pd
 
-        for frame in frames:
-            if len(frame):
-                data = np.array(frame["vector"].tolist(), np.float32)
-                own = nearest_centres(data, middle, probes)
-                yield pd.DataFrame({
-                    "list": own.ravel(), "query": np.repeat(frame["first"].to_numpy(), probes),
-                    "vector": np.repeat(frame["vector"].to_numpy(), probes)})
+        # Each query comes out once per probed list, so that few of them make a large frame.
+        for frame in (f.iloc[at:at + ROUTED] for f in frames for at in range(0, len(f), ROUTED)):
+            data = np.array(frame["vector"].tolist(), np.float32)
+            own = nearest_centres(data, middle, probes)
+            yield pd.DataFrame({
+                "list": own.ravel(), "query": np.repeat(frame["first"].to_numpy(), probes),
+                "vector": np.repeat(frame["vector"].to_numpy(), probes)})
 
     routed = distinct_queries.mapInPandas(route, "list long, query long, vector array<float>")
     # Queries of a list in blocks of about QUERY_BLOCK, each block with each chunk.
@@ -212,7 +214,9 @@ def neighbours(vectors: DataFrame, is_query, k=10, share=0.6, id_column="vec_id"
                 [pa.array(query, pa.int64()), pa.array(first, pa.int64()), pa.array(score, pa.float64())],
                 ["query", "first", "score"])
 
-    hits = lists.join(blocks, "list").select("firsts", "vectors", "blocks", "queries").mapInArrow(
+    # Spark takes the routed queries for as small as the queries themselves, and would broadcast
+    # them through the driver: vectors times probed lists.
+    hits = lists.join(blocks.hint("merge"), "list").select("firsts", "vectors", "blocks", "queries").mapInArrow(
         scan, "query long, first long, score double")
     nearest = Window.partitionBy("query").orderBy("score", "first")
     hits = hits.withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= k + 1)

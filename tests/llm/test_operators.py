@@ -274,6 +274,24 @@ def test_nearest(spark):
     assert nearest.neighbours(table.limit(0), "vec_id % 100 = 0").count() == 0
 
 
+def test_nearest_does_not_broadcast_routed_queries(spark, monkeypatch):
+    """A query goes to many lists: what small tables make small must not pass through the driver."""
+    plans, written = [], nearest.kept
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df)
+
+    monkeypatch.setattr(nearest, "kept", kept)
+    draw = random.Random(3)
+    rows = [(i, [draw.random() for _ in range(8)]) for i in range(300)]
+    found = nearest.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), "vec_id % 5 = 0", k=3)
+    assert found.count() == 180
+    (plan,) = [p for p in plans if "MapInArrow" in p]
+    joined = plan[plan.index("MapInArrow"):].split("\n")
+    assert next(x for x in joined if "Join" in x and "list" in x).strip(" :+-").startswith("SortMergeJoin")
+
+
 def test_licenses(docs, spark):
     rows = by_id(licenses.scan(docs))
     for i, text in docs.select("doc_id", "text").collect():
