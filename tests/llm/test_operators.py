@@ -440,6 +440,35 @@ def test_sketches_share_a_block(spark):
         assert 5 * len(found[i] & found[i + 1]) >= min(len(found[i]), len(found[i + 1])), rows[i]
 
 
+def test_lines_that_share_one_block_are_compared(spark):
+    """Lines within the bound are found by any block they share, also by fewer than a fifth of them."""
+    draw, pairs = random.Random(17), []
+    for size in [40] * 60:
+        line = ["".join(draw.choice("abcdefghijklmno") for _ in range(7)) for _ in range(size)]
+        near, left = list(line), (8 * size - 1) // 10
+        at = draw.randrange(size - 9)
+        for k in [*range(at), *range(at + 9, size)][:left]:
+            near[k] = near[k][:3] + "x" + near[k][4:]
+        pairs.append((" ".join(line), " ".join(near)))
+    lines = [(2 * i + k, x) for i, pair in enumerate(pairs) for k, x in enumerate(pair)]
+    own = {}
+    for r in line_dedup.blocks(spark.createDataFrame(lines, "id long, line string")).collect():
+        own.setdefault(r["id"], set()).add(r["key"])
+    few = [pairs[i // 2] for i in range(0, len(lines), 2)
+           if 0 < 5 * len(own[i] & own[i + 1]) < min(len(own[i]), len(own[i + 1]))]
+    assert len(few) >= 5 and all(edit_distance(a, b) <= len(a) // 10 for a, b in few[:5])
+    rows = [(2 * i + k, x) for i, pair in enumerate(few) for k, x in enumerate(pair)]
+    got = by_id(line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert [got[i]["n_removed"] for i, _ in rows] == [0, 1] * len(few)
+
+
+def test_a_repeated_word_is_no_block(spark):
+    """A word that a piece has twice among three does not make it equal to all such pieces."""
+    rows = [(i, " ".join(f"the {w}{k} the" for k in range(5))) for i, w in enumerate(["harbour", "mountains"])]
+    keys = line_dedup.blocks(spark.createDataFrame(rows, "id long, line string")).distinct().groupBy("key").count()
+    assert keys.count() == 2 * 13 and keys.where("count > 1").isEmpty()
+
+
 def grouped_lines(texts, min_words=1, percent=90):
     """Plain version: places that go, by all pairs of lines and connected groups."""
     lines = sorted((i, k, x.strip(" ").lower()) for i, t in texts for k, x in enumerate(t.split("\n")) if x.strip())
