@@ -524,6 +524,17 @@ def test_groups_equal_all_pairs(spark, monkeypatch, collide):
     assert sum(map(len, want.values())) > 50
 
 
+def test_pairs_are_compared_in_parts(spark, monkeypatch):
+    """The pairs' texts are joined a part at a time; the groups stay those of all pairs."""
+    monkeypatch.setattr(line_dedup, "PAIRS", 3)
+    compared, passing = [], line_dedup.passing
+    monkeypatch.setattr(line_dedup, "passing", lambda *x: compared.append(1) or passing(*x))
+    texts = group_texts()
+    got = by_id(line_dedup.dedup_lines(spark.createDataFrame(texts, "doc_id long, text string"), min_words=1))
+    assert {i: r["places_removed"] for i, r in got.items()} == grouped_lines(texts)
+    assert len(compared) > 3
+
+
 def test_clashing_columns(spark):
     names = ["doc_id", "text", "_doc", "_parts", "__places", "n_lines", "n_removed", "places_removed", "id", "place"]
     rows = [(i, "some line that is here\nmenu", *([7] * 8)) for i in range(2)]
